@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, groups_by_bytes, texts, utf8
+from .common import checkpoint, groups_by_bytes, utf8
 
 SHINGLE, SEED = 3, 42
 
@@ -210,7 +210,7 @@ def shard_links(distinct: DataFrame, *, radius: int, blocks: int) -> DataFrame:
 
 
 def components(links: DataFrame, *, max_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of the links, by large-star and small-star rounds until nothing changes."""
+    """(node, root) for every node of the links but the roots themselves, by large-star and small-star rounds until nothing changes."""
     edges = checkpoint(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     seen = None
     for _ in range(max_rounds):
@@ -234,8 +234,8 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     fps = checkpoint(fingerprints(docs, key=key, text=text))
     distinct = fps.groupBy("fp").agg(F.min(key).alias("low"))
     member = components(shard_links(distinct.select("fp"), radius=radius, blocks=blocks))
-    rooted = distinct.join(member, distinct.fp == member.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"), F.col("node").isNotNull().alias("linked"))
-    low = rooted.where("linked or root in (fp)").groupBy("root").agg(F.min("low").alias("component_id"))
+    rooted = distinct.join(member, distinct.fp == member.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    low = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     by_fp = rooted.join(low, "root").select("fp", "component_id")
     return fps.join(by_fp, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

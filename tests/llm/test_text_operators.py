@@ -176,7 +176,7 @@ def test_simhash_chain_of_links(spark):
     rows = [(x - (1 << 64) if x >> 63 else x,) for x in {*fps, *far}]
     links = simhash.shard_links(spark.createDataFrame(rows, "fp long"), radius=3, blocks=5)
     comp = {r.node: r.root for r in simhash.components(links).collect()}
-    assert len({comp[r[0]] for r in rows if r[0] in comp}) == 1 and len(comp) == len(set(fps))
+    assert len(set(comp.values())) == 1 and len(comp.keys() | set(comp.values())) == len(set(fps))
 
 
 def test_simhash_without_rows(spark):
