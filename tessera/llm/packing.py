@@ -21,7 +21,7 @@ import heapq
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import count
+from itertools import chain, count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +34,14 @@ from .common import texts
 #: Characters whose normal form, lower case and word limits are the same everywhere.
 _PLAIN = re.compile("[\t\n\x0b\x0c\r\x20-\x7e\xa1-\xac\xae-įı-ɏ‐-―‘-‧‰-⁞€]*")
 
-
 class WordIds:
-    """Ids of whole texts through a bounded table of words."""
+    """Ids of whole texts through a bounded table of words.
+
+    Words of letters are learned many at a time: joined by spaces each is one pre-token, which ends in the only id
+    that carries the end-of-word mark.  Such a word with one mark behind it is the word's ids and the mark's.
+    """
+
+    MARKS = ".,;:!?"
 
     def __init__(self, path: str, most: int = 1_000_000) -> None:
         from tokenizers import Tokenizer
@@ -44,20 +49,63 @@ class WordIds:
         self.tok = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.most = most
+        vocab = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        marks = {c: self._encode([c])[0] for c in self.MARKS}
+        self.mark = {c: ids[0] for c, ids in marks.items() if len(ids) == 1}
         self._clear()
 
+    def _encode(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
+
     def _clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.starts, self.flat, self.size = np.zeros(1, np.int64), np.zeros(0, np.uint32), 0
+        self.n_words, self.n_ids = 0, 0
+        self.starts, self.flat = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32)
+
+    def _add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, m = self.n_words + len(words), self.n_ids + len(ids)
+        if n + 1 > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros(n + 1, np.int64)])
+        if m > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(m, np.uint32)])
+        self.starts[self.n_words + 1 : n + 1] = self.n_ids + np.cumsum(sizes)
+        self.flat[self.n_ids : m] = ids
+        self.at.update(zip(words, range(self.n_words, n), strict=True))
+        self.n_words, self.n_ids = n, m
+
+    def _gather(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        lo, n = self.starts[k], self.starts[k + 1] - self.starts[k]
+        return self.flat[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())], n
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.at) + len(words) > self.most:
-            self._clear()
-        got = [e.ids for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
-        self.at.update(zip(words, range(self.size, self.size + len(words)), strict=True))
-        self.size += len(words)
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(g) for g in got])])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for g in got for i in g), np.uint32)])
+        stems, marked, rest = {}, [], []
+        for w in words:
+            if w.isalpha():
+                stems[w] = None
+            elif w[-1] in self.mark and w[:-1].isalpha():
+                marked.append(w)
+                if w[:-1] not in self.at:
+                    stems[w[:-1]] = None
+            else:
+                rest.append(w)
+        letters = list(stems)
+        if letters:
+            got = self._encode([" ".join(letters[i : i + 16]) for i in range(0, len(letters), 16)])
+            ids = np.fromiter((x for g in got for x in g), np.uint32)
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) == len(letters) and last[-1] == len(ids) - 1:
+                self._add(letters, ids, np.diff(last, prepend=-1))
+            else:
+                rest += letters
+        if rest:
+            got = self._encode(rest)
+            self._add(rest, np.fromiter((x for g in got for x in g), np.uint32), np.array([len(g) for g in got]))
+        if marked:
+            ids, n = self._gather(np.array([self.at[w[:-1]] for w in marked]))
+            ends = np.cumsum(n)
+            self._add(marked, np.insert(ids, ends, [self.mark[w[-1]] for w in marked]), n + 1)
 
     def __call__(self, items: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(items)
@@ -68,13 +116,19 @@ class WordIds:
             else:
                 out[i] = np.array(self.tok.encode(t, add_special_tokens=False).ids, np.uint32)
         split = [items[i].lower().split() for i in plain]
-        new = {w for ws in split for w in ws if w not in self.at}
-        if new:
-            self._learn(sorted(new) if len(self.at) + len(new) <= self.most else sorted({w for ws in split for w in ws}))
-        for i, ws in zip(plain, split, strict=True):
-            k = np.fromiter(map(self.at.__getitem__, ws), np.int64, len(ws))
-            lo, n = self.starts[k], self.starts[k + 1] - self.starts[k]
-            out[i] = self.flat[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        words = list(chain.from_iterable(split))
+        k = np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
+        if (k < 0).any():
+            unknown = np.flatnonzero(k < 0)
+            if len(self.at) + 2 * len(unknown) > self.most:
+                self._clear()
+                unknown = np.arange(len(words))
+            self._learn(list({words[i] for i in unknown.tolist()}))
+            k[unknown] = [self.at[words[i]] for i in unknown.tolist()]
+        ids, n = self._gather(k)
+        cuts = np.concatenate([[0], np.cumsum(n)])[np.cumsum([0, *map(len, split)])]
+        for j, i in enumerate(plain):
+            out[i] = ids[cuts[j] : cuts[j + 1]]
         return out  # type: ignore[return-value]
 
 
