@@ -133,7 +133,7 @@ def to_warc(rec: ArcRecord, first: str | None = None) -> bytes:
     head, payload = split_http(block) if http else (b"", block)
     key = http_headers(head).get(KEY.lower())
     digest = sha1_base32(payload)
-    kind = "warcinfo" if url.startswith("filedesc:") else "response" if http else "resource"
+    kind = "response" if http else "warcinfo" if url.startswith("filedesc:") else "resource"
     lines = [("WARC-Record-ID", record_id(f"key:{key}" if key is not None else f"{url} {f['Archive-date']} {digest}"))]
     if first is not None and kind == "response":
         kind, block = "revisit", head
