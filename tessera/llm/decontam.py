@@ -123,6 +123,8 @@ def report(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", **how: object) -> DataFrame:
     """The rows of docs that hold no window of an item."""
-    hit = occurrences(docs, items, key=key, text=text, **({"item": "item_id", "item_text": "text", "window": 10, "shingle": 5, "broadcast_rows": 500_000} | how)).where("start is not null").select(F.col("id").alias("__id"), F.col("row").alias("__row")).distinct()
+    how = {"item": "item_id", "item_text": "text", "window": 10, "shingle": 5, "broadcast_rows": 500_000} | how
+    hit = checkpoint(occurrences(docs, items, key=key, text=text, **how).where("start is not null").select(F.col("id").alias("__id"), F.col("row").alias("__row")).distinct())
+    hit = F.broadcast(hit) if hit.count() <= how["broadcast_rows"] else hit
     row = F.coalesce(F.xxhash64(docs[text]), F.lit(0))
     return docs.join(hit, docs[key].eqNullSafe(hit["__id"]) & (row == hit["__row"]), "left_anti")

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arc, chat, decontam, langid, packing, quality, secrets, simhash
+from . import arc, chat, decontam, langid, lm, packing, quality, secrets, simhash
 from .common import crc_mod, read, small_batches
 
 
@@ -69,6 +69,20 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = read(spark, sf_dir, "documents")
+    held = crc_mod("doc_id", 7) == 2
+    model, counts = lm.fit(docs, tokenizer_path("byte_bpe_50k.tiktoken"), where=~held)
+    return lm.score(docs, model, counts).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_quality": op2_quality,
@@ -78,6 +92,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_secrets": op7_secrets,
     "op8_packing": op8_packing,
     "op9_simhash": op9_simhash,
+    "op10_lm": op10_lm,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {}
