@@ -1 +1 @@
-"""Data-quality analytics on PySpark."""
+"""Column functions: content types, patterns, string similarities."""

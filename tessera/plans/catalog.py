@@ -1,14 +1,438 @@
-"""Registered queries of the data-quality engine and their SQL."""
+"""Registered queries of the data-quality engine, each with SQL where SQL can express it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import checks as c
+from ..metrics import Distribution
+from ..operators import analyzers as a
+from ..operators import dependencies, entities, impute, outliers
+from ..operators.repair import Clean, RepairSuite
+from . import profile as profiles
+from . import suggest
+from .runner import analyze, frequencies
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def register(sql: str | None = None):  # noqa: ANN201
+    def add(f):  # noqa: ANN001, ANN202
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def metric_rows(spark: SparkSession, df: DataFrame, analyzers: list[a.Analyzer], digits: int = 6) -> DataFrame:
+    """(name, instance, value) of the metrics, numbers rounded."""
+    found = analyze(df, analyzers)
+    rows = []
+    for m in found.metrics.values():
+        if m.error is not None:
+            raise m.error
+        rows += [(name, instance, round(v, digits)) for _, instance, name, v in m.flatten()]
+    return spark.createDataFrame(rows, "name string, instance string, value double")
+
+
+def union_sql(rows: list[tuple[str, str, str]], source: str, digits: int = 6) -> str:
+    """One SELECT for (name, instance, expression) over a source."""
+    cols = ", ".join(f"CAST({e} AS DOUBLE) AS v{i}" for i, (_, _, e) in enumerate(rows))
+    parts = " UNION ALL ".join(f"SELECT '{n}' AS name, '{i}' AS instance, round(v{k}, {digits}) AS value FROM t" for k, (n, i, _) in enumerate(rows))
+    return f"WITH t AS (SELECT {cols} FROM {source}) {parts}"
+
+
+# --- scan metrics -------------------------------------------------------------------------------------------------
+
+_NUM = ("l_quantity", "l_extendedprice", "l_discount")
+_SCAN = [("Size", "*", "count(*)"), ("Completeness", "l_orderkey", "avg(CASE WHEN l_orderkey IS NOT NULL THEN 1.0 ELSE 0.0 END)")]
+for _x in _NUM:
+    _SCAN += [("Minimum", _x, f"min({_x})"), ("Maximum", _x, f"max({_x})"), ("Mean", _x, f"avg({_x})"), ("StandardDeviation", _x, f"stddev_pop({_x})")]
+_SCAN += [("Sum", "l_quantity", "sum(l_quantity)"), ("Correlation", "l_extendedprice,l_quantity", "corr(l_extendedprice, l_quantity)")]
+
+
+@register(union_sql(_SCAN, "lineitem"))
+def scan_metrics_lineitem(spark, d):  # noqa: ANN001, ANN201
+    wanted: list[a.Analyzer] = [a.Size(), a.Completeness("l_orderkey")]
+    for x in _NUM:
+        wanted += [a.Minimum(x), a.Maximum(x), a.Mean(x), a.StandardDeviation(x)]
+    wanted += [a.Sum("l_quantity"), a.Correlation("l_extendedprice", "l_quantity")]
+    return metric_rows(spark, table(spark, d, "lineitem"), wanted)
+
+
+@register(union_sql([("Size", "*", "count_if(o_orderstatus = 'F')"), ("Mean", "o_totalprice", "avg(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END)"), ("Completeness", "o_custkey,o_x", "sum(CASE WHEN o_orderstatus = 'F' AND o_x IS NOT NULL THEN 1 ELSE 0 END)::DOUBLE / count_if(o_orderstatus = 'F')"), ("Compliance", "cheap", "sum(CASE WHEN o_orderstatus = 'F' AND o_totalprice < 100000 THEN 1 ELSE 0 END)::DOUBLE / count_if(o_orderstatus = 'F')")], "(SELECT *, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS o_x FROM orders)"))
+def scan_metrics_where(spark, d):  # noqa: ANN001, ANN201
+    df = table(spark, d, "orders").withColumn("o_x", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")))
+    w = "o_orderstatus = 'F'"
+    return metric_rows(spark, df, [a.Size(w), a.Mean("o_totalprice", w), a.Completeness(("o_custkey", "o_x"), w), a.Compliance("cheap", "o_totalprice < 100000", w)])
+
+
+@register(union_sql([("PatternMatch", "c_name", "avg(CASE WHEN regexp_matches(c_name, '[0-9]+1$') THEN 1.0 ELSE 0.0 END)"), ("MinLength", "c_name", "min(length(c_name))"), ("MaxLength", "c_name", "max(length(c_name))"), ("MaxLength", "c_mktsegment", "max(length(c_mktsegment))")], "customer"))
+def string_metrics_customer(spark, d):  # noqa: ANN001, ANN201
+    return metric_rows(spark, table(spark, d, "customer"), [a.PatternMatch("c_name", "[0-9]+1$"), a.MinLength("c_name"), a.MaxLength("c_name"), a.MaxLength("c_mktsegment")])
+
+
+_KIND = "CASE WHEN {0} IS NULL THEN 'Unknown' WHEN regexp_full_match({0}, '(-|\\+)? ?[0-9]*\\.[0-9]*') THEN 'Fractional' WHEN regexp_full_match({0}, '(-|\\+)? ?[0-9]*') THEN 'Integral' WHEN {0} IN ('true', 'false') THEN 'Boolean' ELSE 'String' END"
+_MIXED = "CASE o_orderkey % 6 WHEN 0 THEN NULL WHEN 1 THEN CAST(o_orderkey AS VARCHAR) WHEN 2 THEN '-1.5' WHEN 3 THEN 'true' WHEN 4 THEN '1e5' ELSE '' END"
+
+
+@register(f"""WITH k AS (SELECT {_KIND.format('m')} AS k FROM (SELECT {_MIXED} AS m FROM orders)),
+t AS (SELECT b.bin, count(k.k) AS absolute FROM (VALUES ('Unknown'), ('Fractional'), ('Integral'), ('Boolean'), ('String')) b(bin) LEFT JOIN k ON k.k = b.bin GROUP BY 1)
+SELECT bin, CAST(absolute AS BIGINT) AS absolute, round(absolute / (SELECT count(*)::DOUBLE FROM orders), 6) AS ratio FROM t""")
+def data_type_histogram(spark, d):  # noqa: ANN001, ANN201
+    k = F.col("o_orderkey") % 6
+    m = F.when(k == 1, F.col("o_orderkey").cast("string")).when(k == 2, "-1.5").when(k == 3, "true").when(k == 4, "1e5").when(k == 5, "")
+    return distribution_rows(spark, analyze(table(spark, d, "orders").withColumn("m", m), [a.DataTypeAnalyzer("m")]).metrics[a.DataTypeAnalyzer("m")].value)
+
+
+def distribution_rows(spark: SparkSession, dist: Distribution) -> DataFrame:
+    return spark.createDataFrame([(k, v.absolute, round(v.ratio, 6)) for k, v in dist.values.items()], "bin string, absolute long, ratio double")
+
+
+@register(union_sql([(f"ApproxQuantile.{q}", "l_quantity", f"quantile_disc(l_quantity, {q})") for q in (0.25, 0.5, 0.75)], "lineitem"))
+def approx_quantile(spark, d):  # noqa: ANN001, ANN201
+    """The error is so small that percentiles are exact."""
+    return metric_rows(spark, table(spark, d, "lineitem"), [a.ApproxQuantile("l_quantity", (0.25, 0.5, 0.75), 1e-7)])
+
+
+@register()
+def approx_count_distinct(spark, d):  # noqa: ANN001, ANN201
+    return metric_rows(spark, table(spark, d, "orders"), [a.ApproxCountDistinct("o_custkey"), a.ApproxCountDistinct("o_orderstatus", "o_totalprice > 1000")])
+
+
+@register("SELECT 'Mode' AS name, instance, value FROM (SELECT 'p_brand' AS instance, p_brand AS value, count(*) AS n FROM part GROUP BY p_brand ORDER BY n DESC, value LIMIT 1) UNION ALL SELECT 'Mode', instance, value FROM (SELECT 'p_size' AS instance, CAST(p_size AS VARCHAR) AS value, count(*) AS n FROM part GROUP BY p_size ORDER BY n DESC, value LIMIT 1)")
+def mode_part(spark, d):  # noqa: ANN001, ANN201
+    found = analyze(table(spark, d, "part"), [a.Mode("p_brand"), a.Mode("p_size")])
+    return spark.createDataFrame([(m.name, m.instance, m.value) for m in found.metrics.values()], "name string, instance string, value string")
+
+
+# --- grouping metrics ---------------------------------------------------------------------------------------------
+
+_FREQ = "WITH f AS (SELECT {k}, count(*) AS n FROM {t} WHERE {nn} GROUP BY {k}), r AS (SELECT count(*)::DOUBLE AS rows FROM {t})"
+
+
+@register(_FREQ.format(k="o_custkey", t="orders", nn="o_custkey IS NOT NULL") + " SELECT * FROM (SELECT 'Uniqueness' AS name, 'o_custkey' AS instance, round(count_if(n = 1) / max(rows), 6) AS value FROM f, r UNION ALL SELECT 'Distinctness', 'o_custkey', round(count(*) / max(rows), 6) FROM f, r UNION ALL SELECT 'UniqueRatio', 'o_custkey', round(count_if(n = 1)::DOUBLE / count(*), 6) FROM f UNION ALL SELECT 'Entropy', 'o_custkey', round(-sum(n / rows * ln(n / rows)), 6) FROM f, r)")
+def frequency_metrics_orders(spark, d):  # noqa: ANN001, ANN201
+    return metric_rows(spark, table(spark, d, "orders"), [a.Uniqueness("o_custkey"), a.Distinctness("o_custkey"), a.UniqueRatio("o_custkey"), a.Entropy("o_custkey")])
+
+
+_KEYED = "(SELECT l_orderkey, CASE WHEN l_linenumber > 5 THEN NULL ELSE l_linenumber END AS line FROM lineitem)"
+
+
+@register(_FREQ.format(k="l_orderkey, line", t=_KEYED, nn="l_orderkey IS NOT NULL AND line IS NOT NULL") + " SELECT 'Uniqueness' AS name, 'l_orderkey,line' AS instance, round(count_if(n = 1) / max(rows), 6) AS value FROM f, r UNION ALL SELECT 'Distinctness', 'l_orderkey,line', round(count(*) / max(rows), 6) FROM f, r UNION ALL SELECT 'UniqueRatio', 'l_orderkey,line', round(count_if(n = 1)::DOUBLE / count(*), 6) FROM f")
+def frequency_metrics_compound_key(spark, d):  # noqa: ANN001, ANN201
+    df = table(spark, d, "lineitem").withColumn("line", F.when(F.col("l_linenumber") <= 5, F.col("l_linenumber")))
+    key = ("l_orderkey", "line")
+    return metric_rows(spark, df, [a.Uniqueness(key), a.Distinctness(key), a.UniqueRatio(key)])
+
+
+@register("WITH j AS (SELECT l_returnflag x, l_linestatus y, count(*)::DOUBLE n FROM lineitem GROUP BY 1, 2), r AS (SELECT sum(n) t FROM j), m AS (SELECT *, sum(n) OVER (PARTITION BY x) nx, sum(n) OVER (PARTITION BY y) ny FROM j) SELECT 'MutualInformation' AS name, 'l_linestatus,l_returnflag' AS instance, round(sum(n / t * ln((n / t) / ((nx / t) * (ny / t)))), 6) AS value FROM m, r")
+def mutual_information(spark, d):  # noqa: ANN001, ANN201
+    return metric_rows(spark, table(spark, d, "lineitem"), [a.MutualInformation("l_returnflag", "l_linestatus")])
+
+
+@register("WITH h AS (SELECT coalesce(CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE p_brand END, 'NullValue') AS bin, count(*) AS n FROM part GROUP BY 1) SELECT bin, CAST(n AS BIGINT) AS absolute, round(n / (SELECT count(*)::DOUBLE FROM part), 6) AS ratio FROM h ORDER BY n DESC, bin LIMIT 5")
+def histogram_top(spark, d):  # noqa: ANN001, ANN201
+    df = table(spark, d, "part").withColumn("b", F.when(F.col("p_partkey") % 10 != 0, F.col("p_brand")))
+    return distribution_rows(spark, a.Histogram("b", None, 5).compute(df).value)
+
+
+@register("SELECT CAST(CAST(floor(o_totalprice / 50000) AS BIGINT) AS VARCHAR) AS bin, CAST(count(*) AS BIGINT) AS absolute, round(count(*) / (SELECT count(*)::DOUBLE FROM orders), 6) AS ratio FROM orders GROUP BY floor(o_totalprice / 50000)")
+def histogram_binned(spark, d):  # noqa: ANN001, ANN201
+    return distribution_rows(spark, a.Histogram("o_totalprice", lambda x: F.floor(x / 50000)).compute(table(spark, d, "orders")).value)
+
+
+@register("SELECT l_returnflag, l_linestatus, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY 1, 2")
+def frequency_table(spark, d):  # noqa: ANN001, ANN201
+    return frequencies(table(spark, d, "lineitem"), ("l_returnflag", "l_linestatus")).select(F.col("g0").alias("l_returnflag"), F.col("g1").alias("l_linestatus"), "n")
+
+
+# --- checks -------------------------------------------------------------------------------------------------------
+
+
+def lineitem_check() -> c.Check:
+    return (
+        c.Check("lineitem")
+        .has_size(c.greater_than(0))
+        .is_complete("l_orderkey")
+        .is_non_negative("l_discount")
+        .is_positive("l_quantity")
+        .has_mean("l_quantity", c.in_range(20, 30))
+        .has_max("l_discount", c.less_than_or_equal_to(0.05))
+        .is_contained_in("l_linestatus", ["O", "F"])
+        .is_in_range("l_tax", 0, 0.08, True, True)
+        .is_primary_key(["l_orderkey", "l_linenumber"])
+        .has_approx_quantile("l_quantity", 0.5, c.in_range(20, 30))
+        .satisfies_expression("l_extendedprice > l_quantity")
+        .has_count_distinct("l_returnflag", c.equal_to(3))
+        .matches_pattern("l_returnflag", "^[ANR]$")
+        .satisfies_fd("l_returnflag@l_linestatus#_&_")
+    )
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return c.DetectionSuite.on_data(table(spark, sf_dir, "lineitem")).add_check(lineitem_check()).run().assertion_results_as_df().select("constraint", "status")
+
+
+@register("""WITH t AS (SELECT count(*) > 0 a, count(l_orderkey) = count(*) b, bool_and(l_discount >= 0) c, bool_and(l_quantity > 0) d, avg(l_quantity) > 20 AND avg(l_quantity) < 30 e, max(l_discount) <= 0.05 f,
+bool_and(l_linestatus IN ('O', 'F')) g, bool_and(l_tax >= 0 AND l_tax <= 0.08) h, quantile_disc(l_quantity, 0.5) BETWEEN 20.5 AND 29.5 j, bool_and(l_extendedprice > l_quantity) k, count(DISTINCT l_returnflag) = 3 l, bool_and(regexp_matches(l_returnflag, '^[ANR]$')) m FROM lineitem),
+u AS (SELECT bool_and(n = 1) i FROM (SELECT count(*) n FROM lineitem GROUP BY l_orderkey, l_linenumber)), v AS (SELECT bool_and(n = 1) o FROM (SELECT count(DISTINCT l_linestatus) n FROM lineitem GROUP BY l_returnflag)),
+s AS (SELECT * FROM t, u, v)
+SELECT x.constraint, CASE WHEN ok THEN 'Success' ELSE 'Failure' END AS status FROM s, LATERAL (VALUES ('Size(*)', a), ('Completeness(l_orderkey)', b), ('Compliance(l_discount is non-negative)', c), ('Compliance(l_quantity is positive)', d), ('Mean(l_quantity)', e), ('Maximum(l_discount)', f), ('Compliance(l_linestatus contained in O,F)', g), ('Compliance(l_tax between 0 and 0.08)', h), ('Uniqueness(l_linenumber,l_orderkey)', i), ('ApproxQuantile(l_quantity)', j), ('Compliance(l_extendedprice > l_quantity)', k), ('CountDistinct(l_returnflag)', l), ('PatternMatch(l_returnflag)', m), ('FunctionalDependency(l_returnflag@l_linestatus#_&_)', o)) x("constraint", ok)""".replace("x.constraint", 'x."constraint"'))
+def check_lineitem(spark, d):  # noqa: ANN001, ANN201
+    return flagship(spark, d)
+
+
+# --- repairs ------------------------------------------------------------------------------------------------------
+
+_HOLES = "(SELECT c_custkey, c_nationkey, c_mktsegment, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_acctbal END AS bal, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_name END AS name FROM customer)"
+
+
+def holes(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("c_custkey")
+    return table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", F.when(key % 7 != 0, F.col("c_acctbal")).alias("bal"), F.when(key % 5 != 0, F.col("c_name")).alias("name"))
+
+
+def cleaned(df: DataFrame, clean: Clean) -> DataFrame:
+    return RepairSuite.on_data(df).add_clean(clean).run()
+
+
+@register(f"SELECT * FROM {_HOLES} WHERE bal IS NOT NULL AND bal >= 0 AND bal <= 5000 AND c_mktsegment IN ('BUILDING', 'MACHINERY') AND NOT regexp_matches(name, '9$') AND c_nationkey <> 3")
+def filters_customer(spark, d):  # noqa: ANN001, ANN201
+    return cleaned(holes(spark, d), Clean("f").drop_null("bal").filter_by_range("bal", 0, True, 5000, True).filter_by_values("c_mktsegment", ["BUILDING", "MACHINERY"]).drop_by_end("name", "9").filter_by_exp("c_nationkey <> 3"))
+
+
+@register(f"SELECT * FROM {_HOLES} WHERE NOT (bal > 1000 AND bal <= 3000) AND c_mktsegment NOT IN ('BUILDING') AND NOT (c_nationkey = 7) AND regexp_matches(name, '^Cust') AND regexp_matches(CAST(c_custkey AS VARCHAR), '^(-|\\+)? ?[0-9]*$')")
+def droppers_customer(spark, d):  # noqa: ANN001, ANN201
+    return cleaned(holes(spark, d), Clean("d").drop_by_range("bal", 1000, False, 3000, True).drop_by_values("c_mktsegment", ["BUILDING"]).drop_by_exp("c_nationkey = 7").filter_by_begin("name", "Cust").filter_by_data_type("c_custkey", "integral"))
+
+
+def _fill(way: str, expr: str):  # noqa: ANN202
+    sql = f"SELECT c_custkey, round(coalesce(bal, {expr if way == 'fixed' else f'(SELECT {expr} FROM {_HOLES})'}), 6) AS bal FROM {_HOLES}"
+
+    def f(spark, d):  # noqa: ANN001, ANN202
+        return cleaned(holes(spark, d), Clean(way).fill_null("bal", way, -1.0)).select("c_custkey", F.round("bal", 6).alias("bal"))
+
+    f.__name__ = f"fill_null_{way}"
+    register(sql)(f)
+
+
+for _w, _e in {"fixed": "-1.0", "mean": "avg(bal)", "max": "max(bal)", "min": "min(bal)"}.items():
+    _fill(_w, _e)
+
+
+@register(f"SELECT c_custkey, coalesce(bal, (SELECT quantile_disc(bal, 0.5) FROM {_HOLES})) IS NOT NULL AS filled, coalesce(name, (SELECT name FROM {_HOLES} WHERE name IS NOT NULL GROUP BY name ORDER BY count(*) DESC, name LIMIT 1)) AS name FROM {_HOLES}")
+def fill_null_median_mode(spark, d):  # noqa: ANN001, ANN201
+    """The median is approximate, so that only its presence is compared."""
+    out = cleaned(holes(spark, d), Clean("m").fill_null("bal", "median").fill_null("name", "mode"))
+    return out.select("c_custkey", F.col("bal").isNotNull().alias("filled"), "name")
+
+
+_EV = "(SELECT event_id, user_id, CASE WHEN event_id % 4 = 0 OR event_id % 9 IN (1, 2, 3) THEN NULL ELSE value END AS v FROM events)"
+
+
+def event_holes(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("event_id")
+    return table(spark, d, "events").select("event_id", "user_id", F.when(~((k % 4 == 0) | (k % 9).isin(1, 2, 3)), F.col("value")).alias("v"))
+
+
+def _carry(way: str, window: str):  # noqa: ANN202
+    sql = f"SELECT event_id, coalesce(v, {window}) AS v FROM {_EV}"
+
+    def f(spark, d):  # noqa: ANN001, ANN202
+        return cleaned(event_holes(spark, d), Clean(way, index_col="event_id").fill_null("v", way)).select("event_id", "v")
+
+    f.__name__ = f"fill_null_{way}"
+    register(sql)(f)
+
+
+_carry("forward", "last_value(v IGNORE NULLS) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+_carry("backward", "first_value(v IGNORE NULLS) OVER (ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)")
+
+
+@register("SELECT c_custkey, CASE WHEN c_acctbal <= 0 THEN 1.0 WHEN c_acctbal > 9000 THEN 9000.0 ELSE c_acctbal END AS c_acctbal, CASE WHEN c_mktsegment IN ('BUILDING') THEN 'B' WHEN NOT regexp_matches(c_mktsegment, '^[A-M]') THEN 'other' ELSE regexp_replace(c_mktsegment, '[AEIOU]', '_', 'g') END AS c_mktsegment, regexp_extract(c_name, '[0-9]+', 0) AS c_name FROM customer")
+def replacers_customer(spark, d):  # noqa: ANN001, ANN201
+    clean = Clean("r").replace_non_positive("c_acctbal", "fixed", 1.0).replace_by_range("c_acctbal", 9000, False, None, False, "fixed", 9000.0).replace_by_values("c_mktsegment", ["BUILDING"], "fixed", "B").replace_by_excluded_pattern("c_mktsegment", "^[A-M]", "fixed", "other").replace_by_sub_pattern("c_mktsegment", "[AEIOU]", "_").extract_by_sub_pattern("c_name", "[0-9]+")
+    return cleaned(table(spark, d, "customer"), clean).select("c_custkey", "c_acctbal", "c_mktsegment", "c_name")
+
+
+@register("SELECT page_id, CASE WHEN regexp_matches(url, '(http(s?)|ftp|file)://[-A-Za-z0-9+&@#/%?=~_|!:,.;]+[-A-Za-z0-9+&@#/%=~_|]') THEN url ELSE 'none' END AS url FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'no url' ELSE url END AS url FROM pages)")
+def replace_non_url(spark, d):  # noqa: ANN001, ANN201
+    df = table(spark, d, "pages").select("page_id", F.when(F.col("page_id") % 3 == 0, "no url").otherwise(F.col("url")).alias("url"))
+    return cleaned(df, Clean("u").replace_non_url("url", "fixed", "none"))
+
+
+def _keep(which: str, order: str):  # noqa: ANN202
+    def f(spark, d):  # noqa: ANN001, ANN202
+        return cleaned(table(spark, d, "events"), Clean(which).drop_duplicates("user_id", which, "event_id")).select("user_id", "event_id", "event_type")
+
+    f.__name__ = f"dedup_{which}"
+    register(f"SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id {order}) AS r FROM events) WHERE r = 1")(f)
+
+
+_keep("first", "ASC")
+_keep("last", "DESC")
+
+
+@register("SELECT DISTINCT event_type FROM events")
+def dedup_default(spark, d):  # noqa: ANN001, ANN201
+    return cleaned(table(spark, d, "events"), Clean("any").drop_duplicates("event_type")).select("event_type")
+
+
+# --- dependencies -------------------------------------------------------------------------------------------------
+
+
+def _pairs(lhs: str, rhs: str, where: str = "TRUE") -> str:
+    return f"(SELECT CAST(coalesce(sum((n * n - sq) / 2), 0) AS BIGINT) FROM (SELECT sum(k) AS n, sum(k * k) AS sq FROM (SELECT {lhs}, {rhs}, CAST(count(*) AS HUGEINT) AS k FROM part WHERE {where} GROUP BY {lhs}, {rhs}) GROUP BY {lhs}))"
+
+
+_CFDS = ("p_brand@p_type,p_size#_&_,_", "p_size@p_type#7&STANDARD#_&_", "p_brand,p_size@p_type#_,3&_")
+
+
+@register(f"SELECT 0 AS cfd_idx, 0 AS pat_idx, 'p_type' AS attr, CAST(0 AS BIGINT) AS const_vio, {_pairs('p_brand', 'p_type')} AS var_vio UNION ALL SELECT 0, 0, 'p_size', 0, {_pairs('p_brand', 'p_size')} UNION ALL SELECT 1, 0, 'p_type', (SELECT count(*) FROM part WHERE p_size = 7 AND p_type IS DISTINCT FROM 'STANDARD'), 0 UNION ALL SELECT 1, 1, 'p_type', 0, {_pairs('p_size', 'p_type')} UNION ALL SELECT 2, 0, 'p_type', 0, {_pairs('p_brand, p_size', 'p_type', 'p_size = 3')}")
+def fd_violations(spark, d):  # noqa: ANN001, ANN201
+    return dependencies.violation_table(table(spark, d, "part"), dependencies.parse_all(_CFDS))
+
+
+@register("WITH n AS (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY 1, 2), b AS (SELECT p_brand, p_type FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, p_type) AS r FROM n) WHERE r = 1) SELECT p_partkey, p_brand, b.p_type FROM part JOIN b USING (p_brand)")
+def fd_repair(spark, d):  # noqa: ANN001, ANN201
+    return cleaned(table(spark, d, "part"), Clean("fd").repair_by_fd("p_brand@p_type#_&_", "p_partkey")).select("p_partkey", "p_brand", "p_type")
+
+
+# --- outliers -----------------------------------------------------------------------------------------------------
+
+
+@register("WITH s AS (SELECT avg(l_extendedprice) m, stddev_pop(l_extendedprice) s FROM lineitem) SELECT l_orderkey, l_linenumber FROM lineitem, s WHERE l_extendedprice BETWEEN m - 1.5 * s AND m + 1.5 * s")
+def outliers_k_sigma(spark, d):  # noqa: ANN001, ANN201
+    return outliers.solver("k_sigma", "l_extendedprice").remove(table(spark, d, "lineitem")).select("l_orderkey", "l_linenumber")
+
+
+def _exact(q: float) -> str:
+    return f"quantile_disc(c_acctbal, {q})"
+
+
+@register(f"WITH s AS (SELECT {_exact(0.25)} a, {_exact(0.75)} b FROM customer) SELECT c_custkey FROM customer, s WHERE c_acctbal BETWEEN a - 0.4 * (b - a) AND b + 0.4 * (b - a)")
+def outliers_tukey(spark, d):  # noqa: ANN001, ANN201
+    return outliers.solver("tukey", "c_acctbal", outliers.TukeyTestParams(0.4, 1e-7)).remove(table(spark, d, "customer")).select("c_custkey")
+
+
+@register(f"WITH m AS (SELECT {_exact(0.5)} m FROM customer), s AS (SELECT m, quantile_disc(abs(c_acctbal - m), 0.5) d FROM customer, m GROUP BY m) SELECT c_custkey, CASE WHEN c_acctbal < m - 1.5 * d OR c_acctbal > m + 1.5 * d THEN 0.0 ELSE c_acctbal END AS c_acctbal FROM customer, s")
+def outliers_mad_replaced(spark, d):  # noqa: ANN001, ANN201
+    return outliers.solver("mad", "c_acctbal", outliers.MADParams(1.5, 1e-7)).replace(table(spark, d, "customer"), (0.0,)).select("c_custkey", "c_acctbal")
+
+
+@register("WITH s AS (SELECT stddev_pop(value) s FROM events), m AS (SELECT event_id, value, avg(value) OVER (ORDER BY event_id ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) ma FROM events) SELECT event_id FROM m, s WHERE abs(ma - value) > 1.5 * s")
+def outliers_sma(spark, d):  # noqa: ANN001, ANN201
+    df = table(spark, d, "events")
+    return outliers.solver("sma", "value", index_col="event_id").predict(df).where(outliers.FLAG).select("event_id")
+
+
+@register("SELECT round(avg(CASE WHEN c_acctbal < m - 1.5 * s OR c_acctbal > m + 1.5 * s THEN 1.0 ELSE 0.0 END), 6) AS ratio FROM customer, (SELECT avg(c_acctbal) m, stddev_pop(c_acctbal) s FROM customer)")
+def outlier_ratio(spark, d):  # noqa: ANN001, ANN201
+    m = a.Outliers("c_acctbal", "k_sigma").compute(table(spark, d, "customer"))
+    return spark.createDataFrame([(round(m.value, 6),)], "ratio double")
+
+
+def _model(name: str, columns: tuple[str, ...], params: outliers.Params | None = None):  # noqa: ANN202
+    def f(spark, d):  # noqa: ANN001, ANN202
+        return outliers.solver(name, columns, params, index_col="p_partkey").predict(table(spark, d, "part")).select("p_partkey", F.col(outliers.FLAG).alias("outlier"))
+
+    f.__name__ = f"outliers_{name}"
+    register()(f)
+
+
+_model("kmeans", ("p_size", "p_retailprice"))
+_model("gmm", ("p_size", "p_retailprice"))
+_model("dbscan", ("p_size", "p_retailprice"), outliers.DBSCANParams(2.0, 4))
+_model("lof", ("p_size", "p_retailprice"))
+_model("iforest", ("p_size", "p_retailprice"), outliers.IForestParams(max_samples=256))
+_model("pca", ("p_size", "p_retailprice"), outliers.PCAParams(k=2))
+_model("autoencoder", ("p_size", "p_retailprice"))
+
+# --- imputation, entities -----------------------------------------------------------------------------------------
+
+_HOLED = "(SELECT p_partkey, p_brand, p_size, CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE p_type END AS p_type FROM part)"
+
+
+@register(f"""WITH t AS (SELECT p_partkey, CAST(p_brand AS VARCHAR) a, CAST(p_size AS VARCHAR) b, p_type FROM {_HOLED}), nv AS (SELECT p_type v, count(*)::DOUBLE nv FROM t WHERE p_type IS NOT NULL GROUP BY 1),
+sa AS (SELECT a x, p_type v, count(*) n FROM t WHERE p_type IS NOT NULL GROUP BY 1, 2), sb AS (SELECT b x, p_type v, count(*) n FROM t WHERE p_type IS NOT NULL GROUP BY 1, 2),
+h AS (SELECT p_partkey, a, b, a IN (SELECT x FROM sa) ua, b IN (SELECT x FROM sb) ub FROM t WHERE p_type IS NULL),
+s AS (SELECT p_partkey, nv.v, ln(nv) + CASE WHEN ua THEN ln(coalesce(sa.n / nv, 1 / nv)) ELSE 0 END + CASE WHEN ub THEN ln(coalesce(sb.n / nv, 1 / nv)) ELSE 0 END score, (sa.n IS NOT NULL)::INT + (sb.n IS NOT NULL)::INT observed, ua OR ub usable FROM h CROSS JOIN nv LEFT JOIN sa ON sa.x = a AND sa.v = nv.v LEFT JOIN sb ON sb.x = b AND sb.v = nv.v),
+w AS (SELECT p_partkey, v FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY observed DESC, round(score, 9) DESC, v) r FROM s WHERE usable) WHERE r = 1)
+SELECT t.p_partkey, coalesce(t.p_type, w.v) AS p_type FROM t LEFT JOIN w USING (p_partkey)""")
+def bayes_impute(spark, d):  # noqa: ANN001, ANN201
+    df = table(spark, d, "part").select("p_partkey", "p_brand", "p_size", F.when(F.col("p_partkey") % 10 != 0, F.col("p_type")).alias("p_type"))
+    return impute.naive_bayes(df, "p_type", ("p_brand", "p_size"), index_col="p_partkey").select("p_partkey", "p_type")
+
+
+@register("WITH t AS (SELECT DISTINCT item_id, unnest(string_split_regex(lower(text), '[^\\p{L}\\p{N}]')) AS block FROM (SELECT item_id, regexp_replace(text, '[^a-zA-Z0-9 ]', ' ', 'g') AS text FROM benchmark)), u AS (SELECT * FROM t WHERE block <> ''), s AS (SELECT block, count(*) AS size FROM u GROUP BY 1 HAVING count(*) > 1) SELECT item_id, block, CAST(size AS BIGINT) AS size FROM u JOIN s USING (block)")
+def er_token_blocks(spark, d):  # noqa: ANN001, ANN201
+    df = table(spark, d, "benchmark").withColumn("text", F.regexp_replace("text", "[^a-zA-Z0-9 ]", " "))
+    return entities.token_blocks(df, ("text",), "item_id").select(F.col("pid").alias("item_id"), "block", "size")
+
+
+@register("WITH t AS (SELECT DISTINCT item_id, unnest(string_split_regex(lower(text), '[^\\p{L}\\p{N}]')) AS block FROM (SELECT item_id, regexp_replace(text, '[^a-zA-Z0-9 ]', ' ', 'g') AS text FROM benchmark)), u AS (SELECT * FROM t WHERE block <> '') SELECT x.item_id AS i, y.item_id AS j, CAST(count(*) AS DOUBLE) AS w FROM u x JOIN u y ON x.block = y.block AND x.item_id < y.item_id GROUP BY 1, 2")
+def er_edges(spark, d):  # noqa: ANN001, ANN201
+    df = table(spark, d, "benchmark").withColumn("text", F.regexp_replace("text", "[^a-zA-Z0-9 ]", " "))
+    return entities.weighted_edges(entities.token_blocks(df, ("text",), "item_id"))
+
+
+@register()
+def er_entities(spark, d):  # noqa: ANN001, ANN201
+    return entities.resolve(table(spark, d, "part"), ("p_name", "p_brand"), index_col="p_partkey").select("p_partkey", "cluster")
+
+
+# --- profiles, suggestions, states --------------------------------------------------------------------------------
+
+_PROFILED = [("o_orderkey", "Integral"), ("o_custkey", "Integral"), ("o_totalprice", "Fractional")]
+
+
+@register(" UNION ALL ".join(f"SELECT '{x}' AS \"column\", '{k}' AS data_type, 1.0::DOUBLE AS completeness, min({x})::DOUBLE AS minimum, max({x})::DOUBLE AS maximum, round(avg({x}), 6) AS mean, round(stddev_pop({x}), 6) AS std_dev FROM orders" for x, k in _PROFILED))
+def profile_numeric(spark, d):  # noqa: ANN001, ANN201
+    p = profiles.profile(table(spark, d, "orders"), [x for x, _ in _PROFILED]).to_df(spark)
+    return p.select("column", "data_type", "completeness", "minimum", "maximum", F.round("mean", 6).alias("mean"), F.round("std_dev", 6).alias("std_dev"))
+
+
+@register("SELECT 'o_orderstatus' AS \"column\", o_orderstatus AS bin, CAST(count(*) AS BIGINT) AS absolute FROM orders GROUP BY 2 UNION ALL SELECT 'o_orderpriority', o_orderpriority, count(*) FROM orders GROUP BY 2")
+def profile_histograms(spark, d):  # noqa: ANN001, ANN201
+    p = profiles.profile(table(spark, d, "orders"), ["o_orderstatus", "o_orderpriority"])
+    rows = [(x, k, v.absolute) for x, prof in p.profiles.items() for k, v in prof.histogram.values.items()]
+    return spark.createDataFrame(rows, "column string, bin string, absolute long")
+
+
+@register()
+def profile_full(spark, d):  # noqa: ANN001, ANN201
+    return profiles.profile(table(spark, d, "lineitem")).to_df(spark)
+
+
+@register()
+def suggest_constraints(spark, d):  # noqa: ANN001, ANN201
+    return suggest.SuggestionSuite.on_data(table(spark, d, "customer")).add_constraint_rules(suggest.DEFAULT_RULES).run().suggestion_df()
+
+
+@register(union_sql([("Size", "*", "count(*)"), ("Mean", "l_tax", "avg(l_tax)"), ("StandardDeviation", "l_tax", "stddev_pop(l_tax)"), ("Correlation", "l_quantity,l_tax", "corr(l_quantity, l_tax)"), ("Maximum", "l_tax", "max(l_tax)"), ("Uniqueness", "l_partkey", "(SELECT count_if(n = 1) FROM (SELECT count(*) n FROM lineitem GROUP BY l_partkey))::DOUBLE / count(*)")], "lineitem"))
+def merged_states(spark, d):  # noqa: ANN001, ANN201
+    """States of three parts, stored and merged."""
+    import uuid
+
+    from ..operators.graph import checkpoint_dir
+    from ..repository import StateProvider
+
+    df = table(spark, d, "lineitem")
+    wanted = [a.Size(), a.Mean("l_tax"), a.StandardDeviation("l_tax"), a.Correlation("l_tax", "l_quantity"), a.Maximum("l_tax"), a.Uniqueness("l_partkey")]
+    store = StateProvider(spark, f"{checkpoint_dir(spark)}/states-{uuid.uuid4().hex}", wanted)
+    for part in range(3):
+        store.persist(df.where(F.pmod(F.col("l_orderkey"), F.lit(3)) == part), part)
+    rows = [(name, instance, round(v, 6)) for m in store.compute().metrics.values() for _, instance, name, v in m.flatten()]
+    return spark.createDataFrame(rows, "name string, instance string, value double")
+

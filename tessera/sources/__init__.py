@@ -1 +1 @@
-"""Data-quality analytics on PySpark."""
+"""Readers, writers and the session."""

@@ -1 +1 @@
-"""Data-quality analytics on PySpark."""
+"""Data quality of streams: states of micro-batches, merged."""
