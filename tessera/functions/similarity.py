@@ -71,13 +71,11 @@ def jaro_winkler_pair(a: str, b: str, scale: float = 0.1) -> float:
     return jaro + prefix * scale * (1 - jaro)
 
 
-@F.pandas_udf("double")
-def _jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else jaro_winkler_pair(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-
 def jaro_winkler(a: Column, b: Column) -> Column:
-    return _jaro_winkler(a.cast("string"), b.cast("string"))
+    def batch(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if u is None or v is None else jaro_winkler_pair(u, v) for u, v in zip(x, y, strict=True)], dtype="float64")
+
+    return F.pandas_udf(batch, "double")(a.cast("string"), b.cast("string"))
 
 
 def similarity(name: str, a: Column, b: Column) -> Column:

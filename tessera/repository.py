@@ -6,7 +6,7 @@ import json
 import os
 import time
 from collections.abc import Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +23,7 @@ ANALYZERS: dict[str, type[a.Analyzer]] = {c.__name__: c for c in (a.Size, a.Comp
 
 
 def analyzer_to_json(x: a.Analyzer) -> dict[str, Any]:
-    given = {k: getattr(x, k) for k in x.__dataclass_fields__}
+    given = {k: getattr(x, k) for k in (f.name for f in fields(x))}
     given = {k: {"__params": v.to_json()} if isinstance(v, Params) else list(v) if isinstance(v, tuple) else v for k, v in given.items()}
     if callable(given.get("binning")):
         raise ValueError("an analyzer with a binning function cannot be stored")
