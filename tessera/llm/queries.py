@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import arc, chat, decontam, langid, lm, media, packing, quality, secrets, simhash
 from .common import crc_mod, read, small_batches
+from .oracle import ORACLE_SQL as ORACLE_SQL
 
 
 def tokenizer_path(name: str) -> str:
@@ -103,5 +104,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lm": op10_lm,
     "pipeline": pipeline,
 }
-
-ORACLE_SQL: dict[str, str] = {}
