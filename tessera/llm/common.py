@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import checkpoint as checkpoint
+from ..operators.graph import checkpoint_dir as checkpoint_dir
+
 #: Bytes of text that the numpy operators turn into temporaries at once.
 BLOCK_BYTES = 2 << 20
 
@@ -19,21 +21,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder shared by driver and executors; a local one is set only where the session names none."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
-    return sc.getCheckpointDir()
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: cuts lineage and survives lost executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bounds the Arrow batches handed to Python, because a row here is a whole document."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

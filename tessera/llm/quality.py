@@ -41,11 +41,12 @@ class QualityNet:
 
 
 def padded(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Texts side by side, each filled with zeros to whole blocks and one at least; and the blocks of each."""
-    lens = np.diff(off)
-    blocks = np.maximum(1, -(-lens // BLOCK))
-    at = np.concatenate([[0], np.cumsum(blocks * BLOCK)])
-    buf = np.zeros(at[-1] + STRIDE * (HALVES - 1), np.uint8)
+    """Texts side by side, each filled to whole blocks with zeros, which also stand before the first and after each text, so
+    that no filter sees two texts; and the blocks of each."""
+    lens, lead = np.diff(off), STRIDE * (HALVES - 1)
+    blocks = -(-(lens + lead) // BLOCK)
+    at = lead + np.concatenate([[0], np.cumsum(blocks * BLOCK)])
+    buf = np.zeros(at[-1], np.uint8)
     buf[np.arange(len(raw)) + np.repeat(at[:-1] - off[:-1], lens)] = raw
     return buf, blocks
 
@@ -106,7 +107,10 @@ def train(samples: list[tuple[str, int]], *, e: int = 6, filters: int = 48, epoc
     if len(samples) == 0 or y.min() == y.max():
         net.out[:] = 0
         return net
-    raws = [np.frombuffer(t.encode(), np.uint8) for t, _ in samples]
+    # spans of good texts are good: without them short texts, which fill few maxima, would pass for bad ones
+    extra = [t[at : at + n] for t, q in samples if q == 1 and len(t) > 40 for n in [int(rng.integers(15, 200))] for at in [int(rng.integers(0, max(1, len(t) - n)))]][::2]
+    raws = [np.frombuffer(t.encode(), np.uint8) for t in [*[t for t, _ in samples], *extra]]
+    y = np.concatenate([y, np.ones(len(extra), np.float32)])
     weight = np.where(y == 1, 1.0, min(4.0, max(1.0, y.sum() / (len(y) - y.sum())) ** 0.5)).astype(np.float32)
     m1, m2 = [np.zeros_like(p) for p in net.parts()], [np.zeros_like(p) for p in net.parts()]
     steps, t = epochs * -(-len(y) // batch), 0

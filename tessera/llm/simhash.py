@@ -29,7 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, groups_by_bytes, utf8
+from ..operators.graph import checkpoint, components
+from .common import groups_by_bytes, utf8
 
 SHINGLE, SEED = 3, 42
 
@@ -209,26 +210,6 @@ def shard_links(distinct: DataFrame, *, radius: int, blocks: int) -> DataFrame:
     return sharded.mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame, *, max_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of the links but the roots themselves, by large-star and small-star rounds until nothing changes."""
-    edges = checkpoint(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    seen = None
-    for _ in range(max_rounds):
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        edges = checkpoint(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError("connected components did not settle")
-    return edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
-
-
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", radius: int = 3, blocks: int = 5) -> DataFrame:
     """Per row of docs: key, fingerprint (16 hexadecimal digits), component_id."""
     fps = checkpoint(fingerprints(docs, key=key, text=text))
