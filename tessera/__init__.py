@@ -1 +1 @@
-"""Data-quality analytics on PySpark."""
+"""Data-quality analytics on PySpark: checks, metrics, profiles, suggestions, repairs, models, repositories."""

@@ -28,10 +28,34 @@ def profiles(df: DataFrame, columns: tuple[str, ...], index_col: str) -> DataFra
     return out
 
 
-def token_blocks(df: DataFrame, columns: tuple[str, ...], index_col: str = "id") -> DataFrame:
-    """(block, pid): tokens that at least two profiles share."""
+def attribute_clusters(df: DataFrame, columns: tuple[str, ...], index_col: str = "id", target_threshold: float = 0.3) -> DataFrame:
+    """(attr, cluster, entropy): attributes whose token sets have a Jaccard similarity of at least the threshold share a cluster;
+    entropy is that of the cluster's tokens.  Similarities come from one join of distinct (attribute, token) pairs."""
+    tokens = F.explode(F.array_remove(F.split(F.lower("value"), SPLIT), ""))
+    cells = checkpoint(profiles(df, columns, index_col).select("attr", tokens.alias("t")).groupBy("attr", "t").agg(F.count(F.lit(1)).alias("n")))
+    sets = cells.select("attr", "t")
+    size = {r.attr: r.n for r in sets.groupBy("attr").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per column
+    both = sets.withColumnRenamed("attr", "a").join(sets.withColumnRenamed("attr", "b"), "t").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).collect()
+    of = {c: k for k, c in enumerate(columns)}
+    for r in both:
+        if r.n / (size[r.a] + size[r.b] - r.n) >= target_threshold:
+            low, high = sorted((of[r.a], of[r.b]))
+            of = {c: low if k == high else k for c, k in of.items()}
+    cluster = F.create_map(*[F.lit(x) for c, k in of.items() for x in (c, k)])
+    mass = cells.withColumn("cluster", cluster[F.col("attr")]).groupBy("cluster", "t").agg(F.sum("n").alias("n"))
+    total = mass.groupBy("cluster").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"))
+    entropy = total.select("cluster", (F.log("m") - F.col("s") / F.col("m")).alias("entropy"))
+    names = F.explode(F.array(*[F.struct(F.lit(c).alias("attr"), F.lit(k).alias("cluster")) for c, k in of.items()]))
+    return df.sparkSession.range(1).select(names.alias("x")).select("x.*").join(entropy, "cluster", "left").select("attr", "cluster", F.coalesce("entropy", F.lit(0.0)).alias("entropy"))
+
+
+def token_blocks(df: DataFrame, columns: tuple[str, ...], index_col: str = "id", *, clusters: dict[str, int] | None = None) -> DataFrame:
+    """(block, pid): tokens that at least two profiles share; with ``clusters``, inside attributes of one cluster only."""
     tokens = F.explode(F.array_distinct(F.split(F.lower("value"), SPLIT)))
-    pairs = profiles(df, columns, index_col).select("pid", tokens.alias("block")).where("block <> ''").distinct()
+    cells = profiles(df, columns, index_col).select("pid", "attr", tokens.alias("block")).where("block <> ''")
+    if clusters:
+        cells = cells.withColumn("block", F.concat_ws("_", F.create_map(*[F.lit(x) for c, k in clusters.items() for x in (c, k)])[F.col("attr")].cast("string"), "block"))
+    pairs = cells.select("pid", "block").distinct()
     shared = pairs.groupBy("block").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     return pairs.join(shared, "block")
 
@@ -108,8 +132,9 @@ def match(df: DataFrame, edges: DataFrame, columns: tuple[str, ...], index_col:
     return both.withColumn("similarity", total / len(columns)).where(F.col("similarity") >= least).select("i", "j", "similarity")
 
 
-def candidate_edges(df: DataFrame, columns: tuple[str, ...], *, index_col: str = "id", smooth: float = 1.015, keep: float = 0.8, weight: str = "cbs", comparison: str = "or", threshold: str = "avg") -> DataFrame:
-    blocks = checkpoint(filter_blocks(purge(token_blocks(df, columns, index_col), smooth), keep))
+def candidate_edges(df: DataFrame, columns: tuple[str, ...], *, index_col: str = "id", smooth: float = 1.015, keep: float = 0.8, weight: str = "cbs", comparison: str = "or", threshold: str = "avg", cluster_attributes: bool = False, target_threshold: float = 0.3) -> DataFrame:
+    clusters = {r.attr: r.cluster for r in attribute_clusters(df, columns, index_col, target_threshold).collect()} if cluster_attributes else None
+    blocks = checkpoint(filter_blocks(purge(token_blocks(df, columns, index_col, clusters=clusters), smooth), keep))
     return prune(weighted_edges(blocks, weight), comparison=comparison, threshold=threshold, weight=weight)
 
 

@@ -324,7 +324,16 @@ def fill_ordered(df: DataFrame, wanted: dict[str, tuple[str, str]], index_col: s
     return carry(df, wanted, index_col)
 
 
-def apply(df: DataFrame, transformers: list[Any], index_col: str = "id") -> DataFrame:
+def stored_statistics(context: Any) -> dict[tuple[str, str], Any]:
+    """Statistics for replacements from metrics without a where."""
+    from . import analyzers as a
+
+    ways = {a.Maximum: "max", a.Minimum: "min", a.Mean: "mean"}
+    return {(x.column, ways[type(x)]): m.value for x, m in context.metrics.items() if type(x) in ways and x.where is None and m.is_success}
+
+
+def apply(df: DataFrame, transformers: list[Any], index_col: str = "id", known: dict[tuple[str, str], Any] | None = None) -> DataFrame:
+    """``known``: statistics {(column, way): value} that need not be computed."""
     for t in transformers:
         try:
             t.check(df.schema)
@@ -335,13 +344,13 @@ def apply(df: DataFrame, transformers: list[Any], index_col: str = "id") -> Data
     hard = [t for t in transformers if isinstance(t, Complex)]
     try:
         order = df.columns
-        stats, statistic = {}, {}
+        stats, statistic = dict(known or {}), {}
         for t in replacers:
-            if isinstance(t, Replacer) and (s := t.statistic()) is not None:
+            if isinstance(t, Replacer) and (t.column, t.way) not in stats and (s := t.statistic()) is not None:
                 statistic[(t.column, t.way)] = s
         if statistic:
             row = df.agg(*[s.alias(f"s{i}") for i, s in enumerate(statistic.values())]).first()
-            stats = dict(zip(statistic, row, strict=True))
+            stats |= dict(zip(statistic, row, strict=True))
         moved = {f"__{t.way}_{t.column}": (t.column, t.way) for t in replacers if isinstance(t, Replacer) and t.way in ("forward", "backward")}
         for f in filters:
             df = df.where(f.condition())
@@ -379,6 +388,12 @@ class RepairRunBuilder:
     def __init__(self, data: DataFrame) -> None:
         self.data = data
         self.cleans: list[Clean] = []
+        self.known: dict[tuple[str, str], Any] = {}
+
+    def load_state_with(self, provider: Any) -> RepairRunBuilder:
+        """Replacement statistics of a StateProvider's data are taken from there."""
+        self.known = stored_statistics(provider.compute())
+        return self
 
     def add_clean(self, clean: Clean) -> RepairRunBuilder:
         self.cleans.append(clean)
@@ -391,7 +406,7 @@ class RepairRunBuilder:
     def run(self) -> DataFrame:
         df = self.data
         for c in self.cleans:
-            df = apply(df, c.transformers, c.index_col)
+            df = apply(df, c.transformers, c.index_col, self.known)
         return df
 
 

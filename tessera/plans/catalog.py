@@ -392,6 +392,11 @@ def er_entities(spark, d):  # noqa: ANN001, ANN201
     return entities.resolve(table(spark, d, "part"), ("p_name", "p_brand"), index_col="p_partkey").select("p_partkey", "cluster")
 
 
+@register()
+def er_attribute_clusters(spark, d):  # noqa: ANN001, ANN201
+    return entities.attribute_clusters(table(spark, d, "part"), ("p_name", "p_brand", "p_type"), "p_partkey")
+
+
 # --- profiles, suggestions, states --------------------------------------------------------------------------------
 
 _PROFILED = [("o_orderkey", "Integral"), ("o_custkey", "Integral"), ("o_totalprice", "Fractional")]

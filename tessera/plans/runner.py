@@ -155,7 +155,8 @@ class AnalysisRunBuilder:
     def __init__(self, data: DataFrame) -> None:
         self.data = data
         self.analyzers: list[Analyzer] = []
-        self.repository = self.reuse_key = self.save_key = self.states = None
+        self.repository = self.reuse_key = self.save_key = self.states = self.batch = None
+        self.output: tuple[str, bool] | None = None
 
     def add_analyzer(self, analyzer: Analyzer) -> AnalysisRunBuilder:
         self.analyzers.append(analyzer)
@@ -169,17 +170,31 @@ class AnalysisRunBuilder:
         self.repository, self.reuse_key, self.save_key = repository, reuse_key, save_key
         return self
 
-    def save_states_with(self, provider) -> AnalysisRunBuilder:  # noqa: ANN001
-        self.states = provider
+    def merge_states_with(self, provider, batch: str | int) -> AnalysisRunBuilder:  # noqa: ANN001
+        """Stores the data's state as a batch of the provider; metrics the provider can merge cover all its batches."""
+        self.states, self.batch = provider, batch
+        return self
+
+    def write_results_to(self, path: str, overwrite: bool = False) -> AnalysisRunBuilder:
+        """Writes the successful metrics as JSON."""
+        self.output = (path, overwrite)
         return self
 
     def run(self) -> AnalyzerContext:
-        known = self.repository.load_by_key(self.reuse_key) if self.repository is not None and self.reuse_key is not None else None
+        known = self.repository.load_by_key(self.reuse_key) if self.repository is not None and self.reuse_key is not None else AnalyzerContext()
         if self.states is not None:
-            self.states.persist(self.data, self.analyzers)
+            self.states.persist(self.data, self.batch)
+            known = AnalyzerContext(known.metrics | self.states.compute().metrics)
         context = analyze(self.data, self.analyzers, known)
         if self.repository is not None and self.save_key is not None:
             self.repository.save(self.save_key, context)
+        if self.output is not None:
+            import json
+
+            from ..repository import context_to_json
+            from ..sources import files
+
+            files.write(self.data.sparkSession, self.output[0], json.dumps(context_to_json(context), sort_keys=True), overwrite=self.output[1])
         return context
 
 

@@ -16,6 +16,7 @@ from .metrics import Distribution, DistributionValue, Entity, Metric, Violation,
 from .operators import analyzers as a
 from .operators.outliers import Params
 from .plans.runner import AnalyzerContext, frequencies, resolved
+from .sources import files
 
 # --- serialisation ------------------------------------------------------------------------------------------------
 
@@ -169,8 +170,7 @@ class FileSystemMetricsRepository(MetricsRepository):
                 return []
             with open(self.path, encoding="utf-8") as f:
                 return [x for x in f.read().split("\n") if x]
-        fs, path = _hadoop(self.spark, self.path)
-        return [r.value for r in self.spark.read.text(self.path).collect() if r.value] if fs.exists(path) else []  # one line per saved result
+        return files.read(self.spark, self.path).splitlines() if files.exists(self.spark, self.path) else []  # one line per saved result
 
     def save(self, key, context):
         kept = [x for x in self._lines() if _key(json.loads(x)) != key]
@@ -182,14 +182,7 @@ class FileSystemMetricsRepository(MetricsRepository):
                 f.write(text)
             os.replace(self.path + ".new", self.path)
             return
-        fs, path = _hadoop(self.spark, self.path)
-        fresh = _hadoop(self.spark, self.path + ".new")[1]
-        out = fs.create(fresh, True)
-        out.write(bytearray(text.encode()))
-        out.close()
-        if fs.exists(path):
-            fs.delete(path, True)
-        fs.rename(fresh, path)
+        files.write(self.spark, self.path, text, overwrite=True)
 
     def results(self):
         return [AnalysisResult(_key(d), context_from_json(d["results"])) for d in map(json.loads, self._lines())]
@@ -199,11 +192,6 @@ def _key(d: dict[str, Any]) -> ResultKey:
     return ResultKey.of(d["date"], d["tags"])
 
 
-def _hadoop(spark: SparkSession, path: str):  # noqa: ANN202
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
 # --- states -------------------------------------------------------------------------------------------------------
 
 
@@ -248,8 +236,7 @@ class StateProvider:
         return f"{self.path}/frequencies-{i}"
 
     def has_state(self) -> bool:
-        fs, p = _hadoop(self.spark, f"{self.path}/scan")
-        return fs.exists(p)
+        return files.exists(self.spark, f"{self.path}/scan")
 
     def persist(self, df: DataFrame, batch: str | int) -> None:
         """Stores the state of one batch; the same batch stored again replaces its old state."""

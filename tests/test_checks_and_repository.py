@@ -95,6 +95,27 @@ def test_merged_states_equal_the_whole(people, spark, tmp_path):
         assert merged[x].value == pytest.approx(whole[x].value) if not hasattr(whole[x].value, "values") or isinstance(whole[x].value, dict) else merged[x].value == whole[x].value, x
 
 
+def test_runs_merge_states_write_results_and_feed_repairs(people, spark, tmp_path):
+    import json
+
+    from tessera.operators.repair import Clean, RepairSuite
+    from tessera.plans.runner import AnalysisRunner
+    from tessera.sources import files
+
+    wanted = [a.Size(), a.Mean("age"), a.Maximum("age")]
+    store = StateProvider(spark, str(tmp_path / "s"), wanted)
+    out = str(tmp_path / "o" / "r.json")
+    for k, part in enumerate(("age < 20", "age >= 20")):
+        context = AnalysisRunner.on_data(people.where(part)).add_analyzers([*wanted, a.MinLength("name")]).merge_states_with(store, k).write_results_to(out, overwrite=True).run()
+    assert context.metric(a.Size()).value == 7 and context.metric(a.MinLength("name")).value == 2
+    assert len(json.loads(files.read(spark, out))) == 4
+    with pytest.raises(FileExistsError):
+        files.write(spark, out, "x")
+    assert files.rename(spark, out, out + "2") and files.delete(spark, out + "2") and not files.exists(spark, out)
+    fixed = RepairSuite.on_data(people.where("age < 20")).load_state_with(store).add_clean(Clean("m").replace_by_exp("age", "age = 12", "max")).run()
+    assert sorted(r.age for r in fixed.collect()) == [18, 19, 26]
+
+
 def test_stream_is_verified_batch_by_batch(people, spark, tmp_path):
     source = str(tmp_path / "in")
     people.repartition(3).write.parquet(source)

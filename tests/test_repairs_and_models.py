@@ -234,6 +234,17 @@ def test_entities(spark):
     assert {r.id for r in entities.resolve(arrays, ("words",)).collect()} == {1, 2}
 
 
+def test_attribute_clusters_keep_tokens_apart(spark):
+    rows = [(1, "paris hilton", "rome"), (2, "hilton", "paris"), (3, "london", "paris rome")]
+    df = spark.createDataFrame(rows, "id long, name string, city string")
+    got = {r.attr: (r.cluster, r.entropy) for r in entities.attribute_clusters(df, ("name", "city"), target_threshold=0.5).collect()}
+    assert got["name"][0] != got["city"][0] and got["city"][1] == pytest.approx(np.log(2))
+    blocks = entities.token_blocks(df, ("name", "city"), clusters={"name": 0, "city": 1})
+    assert {(r.block, r.pid) for r in blocks.collect()} == {("0_hilton", 1), ("0_hilton", 2), ("1_rome", 1), ("1_rome", 3), ("1_paris", 2), ("1_paris", 3)}
+    assert len({r.cluster for r in entities.attribute_clusters(df, ("name", "city"), target_threshold=0.2).collect()}) == 1
+    assert entities.resolve(df, ("name", "city"), cluster_attributes=True).columns == ["id", "name", "city", "cluster"]
+
+
 def test_imputation(spark):
     rows = [(1, "a", "x", 1), (2, "a", "x", 1), (3, "b", "y", 2), (4, "a", None, None), (5, "b", "y", None), (6, "zz", "zz", None), (7, None, None, None)]
     df = spark.createDataFrame(rows, "id long, p string, q string, t int")
