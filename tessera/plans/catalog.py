@@ -86,13 +86,17 @@ _KIND = "CASE WHEN {0} IS NULL THEN 'Unknown' WHEN regexp_full_match({0}, '(-|\\
 _MIXED = "CASE o_orderkey % 6 WHEN 0 THEN NULL WHEN 1 THEN CAST(o_orderkey AS VARCHAR) WHEN 2 THEN '-1.5' WHEN 3 THEN 'true' WHEN 4 THEN '1e5' ELSE '' END"
 
 
+def mixed(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey") % 6
+    m = F.when(k == 1, F.col("o_orderkey").cast("string")).when(k == 2, "-1.5").when(k == 3, "true").when(k == 4, "1e5").when(k == 5, "")
+    return table(spark, d, "orders").select("o_orderkey", m.alias("m"))
+
+
 @register(f"""WITH k AS (SELECT {_KIND.format('m')} AS k FROM (SELECT {_MIXED} AS m FROM orders)),
 t AS (SELECT b.bin, count(k.k) AS absolute FROM (VALUES ('Unknown'), ('Fractional'), ('Integral'), ('Boolean'), ('String')) b(bin) LEFT JOIN k ON k.k = b.bin GROUP BY 1)
 SELECT bin, CAST(absolute AS BIGINT) AS absolute, round(absolute / (SELECT count(*)::DOUBLE FROM orders), 6) AS ratio FROM t""")
 def data_type_histogram(spark, d):  # noqa: ANN001, ANN201
-    k = F.col("o_orderkey") % 6
-    m = F.when(k == 1, F.col("o_orderkey").cast("string")).when(k == 2, "-1.5").when(k == 3, "true").when(k == 4, "1e5").when(k == 5, "")
-    return distribution_rows(spark, analyze(table(spark, d, "orders").withColumn("m", m), [a.DataTypeAnalyzer("m")]).metrics[a.DataTypeAnalyzer("m")].value)
+    return distribution_rows(spark, analyze(mixed(spark, d), [a.DataTypeAnalyzer("m")]).metrics[a.DataTypeAnalyzer("m")].value)
 
 
 def distribution_rows(spark: SparkSession, dist: Distribution) -> DataFrame:
@@ -217,6 +221,54 @@ def droppers_customer(spark, d):  # noqa: ANN001, ANN201
     return cleaned(holes(spark, d), Clean("d").drop_by_range("bal", 1000, False, 3000, True).drop_by_values("c_mktsegment", ["BUILDING"]).drop_by_exp("c_nationkey = 7").filter_by_begin("name", "Cust").filter_by_data_type("c_custkey", "integral"))
 
 
+@register("SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 0 AND c_acctbal <= 8000 AND c_nationkey >= 3 AND c_nationkey < 20")
+def filters_bounds(spark, d):  # noqa: ANN001, ANN201
+    clean = Clean("b").filter_positive("c_acctbal").filter_by_upper_bound("c_acctbal", 8000, True).filter_by_lower_bound("c_nationkey", 3, True).filter_by_upper_bound("c_nationkey", 20, False).filter_non_negative("c_nationkey")
+    return cleaned(table(spark, d, "customer"), clean).select("c_custkey", "c_acctbal")
+
+
+_CONTACT = "CASE page_id % 4 WHEN 0 THEN 'mail me@site' || page_id || '.com now' WHEN 1 THEN url WHEN 2 THEN NULL ELSE 'plain ' || page_id END"
+
+
+def contacts(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("page_id")
+    c = F.when(k % 4 == 0, F.concat(F.lit("mail me@site"), k.cast("string"), F.lit(".com now"))).when(k % 4 == 1, F.col("url")).when(k % 4 == 3, F.concat(F.lit("plain "), k.cast("string")))
+    return table(spark, d, "pages").select("page_id", "url", c.alias("contact"))
+
+
+@register(f"SELECT page_id, 'url' AS kind FROM (SELECT page_id, {_CONTACT} AS c FROM pages) WHERE regexp_matches(c, '(http(s?)|ftp|file)://[-A-Za-z0-9+&@#/%?=~_|!:,.;]+[-A-Za-z0-9+&@#/%=~_|]') UNION ALL SELECT page_id, 'email' FROM (SELECT page_id, {_CONTACT} AS c FROM pages) WHERE regexp_matches(c, '([A-Za-z0-9_.-])+@([A-Za-z0-9_.-])+\\.([A-Za-z]{{2,4}})') UNION ALL SELECT page_id, 'rest' FROM (SELECT page_id, {_CONTACT} AS c FROM pages) WHERE NOT contains(c, 'http') AND NOT starts_with(c, 'mail') AND NOT ends_with(c, '7')")
+def filters_strings(spark, d):  # noqa: ANN001, ANN201
+    df = contacts(spark, d)
+    kept = {"url": Clean("u").filter_url("contact"), "email": Clean("e").filter_email("contact"), "rest": Clean("r").drop_by_sub_str("contact", "http").drop_by_begin("contact", "mail").drop_by_end("contact", "7")}
+    parts = [cleaned(df, c).select("page_id", F.lit(k).alias("kind")) for k, c in kept.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@register(f"SELECT o_orderkey, 'numeric' AS kind FROM (SELECT o_orderkey, {_MIXED} AS m FROM orders) WHERE {_KIND.format('m')} IN ('Integral', 'Fractional') UNION ALL SELECT o_orderkey, 'not integral' FROM (SELECT o_orderkey, {_MIXED} AS m FROM orders) WHERE {_KIND.format('m')} IN ('Fractional', 'Boolean', 'String') UNION ALL SELECT o_orderkey, 'null' FROM (SELECT o_orderkey, {_MIXED} AS m FROM orders) WHERE m IS NULL")
+def filters_data_types(spark, d):  # noqa: ANN001, ANN201
+    df = mixed(spark, d)
+    kept = {"numeric": Clean("n").filter_by_data_type("m", "numeric"), "not integral": Clean("i").drop_by_data_type("m", "integral"), "null": Clean("0").filter_by_data_type("m", "null")}
+    parts = [cleaned(df, c).select("o_orderkey", F.lit(k).alias("kind")) for k, c in kept.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@register(f"SELECT o_orderkey, CASE WHEN {_KIND.format('m')} = 'Boolean' THEN 'bool' WHEN NOT ({_KIND.format('m')} IN ('Integral', 'Fractional')) THEN 'text' ELSE m END AS m FROM (SELECT o_orderkey, {_MIXED} AS m FROM orders)".replace("WHEN NOT (", "WHEN m IS NOT NULL AND NOT ("))
+def replacers_data_types(spark, d):  # noqa: ANN001, ANN201
+    return cleaned(mixed(spark, d), Clean("t").replace_by_data_type("m", "boolean", "fixed", "bool").replace_by_excluded_data_type("m", "numeric", "fixed", "text")).select("o_orderkey", "m")
+
+
+@register(f"SELECT page_id, CASE WHEN regexp_matches(c, '([A-Za-z0-9_.-])+@([A-Za-z0-9_.-])+\\.([A-Za-z]{{2,4}})') THEN regexp_extract(c, '[a-z]+@[a-z0-9]+', 0) WHEN c IS NULL THEN '' END AS c FROM (SELECT page_id, {_CONTACT} AS c FROM pages) WHERE c IS NULL OR regexp_matches(c, '@')".replace("WHEN c IS NULL THEN ''", "WHEN c IS NULL THEN NULL"))
+def replacers_email(spark, d):  # noqa: ANN001, ANN201
+    df = contacts(spark, d).where("contact IS NULL OR contact LIKE '%@%'")
+    return cleaned(df, Clean("e").replace_non_email("contact", "fixed", "none").extract_by_sub_pattern("contact", "[a-z]+@[a-z0-9]+")).select("page_id", F.col("contact").alias("c"))
+
+
+@register("SELECT c_custkey, round(CASE WHEN c_acctbal < 0 THEN (SELECT avg(c_acctbal) FROM customer) WHEN c_nationkey = 5 THEN (SELECT max(c_acctbal) FROM customer) ELSE c_acctbal END, 6) AS c_acctbal, CASE WHEN c_mktsegment NOT IN ('BUILDING', 'MACHINERY') THEN 'OTHER' WHEN regexp_matches(c_mktsegment, 'ING$') THEN 'B' ELSE c_mktsegment END AS c_mktsegment FROM customer")
+def replacers_statistics(spark, d):  # noqa: ANN001, ANN201
+    clean = Clean("s").replace_negative("c_acctbal", "mean").replace_by_exp("c_acctbal", "c_nationkey = 5", "max").replace_by_excluded_values("c_mktsegment", ["BUILDING", "MACHINERY"], "fixed", "OTHER").replace_by_pattern("c_mktsegment", "ING$", "fixed", "B")
+    return cleaned(table(spark, d, "customer"), clean).select("c_custkey", F.round("c_acctbal", 6).alias("c_acctbal"), "c_mktsegment")
+
+
 def _fill(way: str, expr: str):  # noqa: ANN202
     sql = f"SELECT c_custkey, round(coalesce(bal, {expr if way == 'fixed' else f'(SELECT {expr} FROM {_HOLES})'}), 6) AS bal FROM {_HOLES}"
 
@@ -309,6 +361,11 @@ def fd_repair(spark, d):  # noqa: ANN001, ANN201
     return cleaned(table(spark, d, "part"), Clean("fd").repair_by_fd("p_brand@p_type#_&_", "p_partkey")).select("p_partkey", "p_brand", "p_type")
 
 
+@register("SELECT p_partkey, p_size, CASE WHEN p_size = 7 THEN 'STANDARD' WHEN p_size = 8 THEN 'ECONOMY' ELSE p_type END AS p_type FROM part")
+def fd_repair_constants(spark, d):  # noqa: ANN001, ANN201
+    return cleaned(table(spark, d, "part"), Clean("c").repair_by_fd("p_size@p_type#7&STANDARD#8&ECONOMY", "p_partkey")).select("p_partkey", "p_size", "p_type")
+
+
 # --- outliers -----------------------------------------------------------------------------------------------------
 
 
@@ -353,12 +410,33 @@ def _model(name: str, columns: tuple[str, ...], params: outliers.Params | None =
 
 _model("kmeans", ("p_size", "p_retailprice"))
 _model("gmm", ("p_size", "p_retailprice"))
-_model("dbscan", ("p_size", "p_retailprice"), outliers.DBSCANParams(2.0, 4))
 _model("lof", ("p_size", "p_retailprice"))
 _model("iforest", ("p_size", "p_retailprice"), outliers.IForestParams(max_samples=256))
 _model("pca", ("p_size", "p_retailprice"), outliers.PCAParams(k=2))
 _model("autoencoder", ("p_size", "p_retailprice"))
 
+
+
+@register("""WITH p AS (SELECT p_partkey, CAST(p_size AS DOUBLE) x, p_retailprice y FROM part),
+c AS (SELECT a.p_partkey FROM p a JOIN p b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 4.0 GROUP BY a.p_partkey HAVING count(*) >= 4),
+near AS (SELECT DISTINCT a.p_partkey FROM p a JOIN p b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 4.0 JOIN c ON c.p_partkey = b.p_partkey)
+SELECT p_partkey, p_partkey NOT IN (SELECT p_partkey FROM near) AS outlier FROM p""")
+def outliers_dbscan(spark, d):  # noqa: ANN001, ANN201
+    out = outliers.solver("dbscan", ("p_size", "p_retailprice"), outliers.DBSCANParams(2.0, 4)).predict(table(spark, d, "part"))
+    return out.select("p_partkey", F.col(outliers.FLAG).alias("outlier"))
+
+
+@register(f"""WITH q AS (SELECT {_exact(0.25)} a, {_exact(0.5)} m, {_exact(0.75)} b FROM customer), e AS (SELECT quantile_disc(abs(c_acctbal - m), 0.5) d FROM customer, q)
+SELECT 'tukey' AS model, round(avg(CASE WHEN c_acctbal < a - 0.3 * (b - a) OR c_acctbal > b + 0.3 * (b - a) THEN 1.0 ELSE 0.0 END), 6) AS ratio FROM customer, q
+UNION ALL SELECT 'mad', round(avg(CASE WHEN c_acctbal < m - 1.5 * d OR c_acctbal > m + 1.5 * d THEN 1.0 ELSE 0.0 END), 6) FROM customer, q, e
+UNION ALL SELECT 'sma', round(avg(CASE WHEN abs(ma - c_acctbal) > 1.5 * s THEN 1.0 ELSE 0.0 END), 6) FROM (SELECT c_acctbal, avg(c_acctbal) OVER (ORDER BY c_custkey ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) ma FROM customer), (SELECT stddev_pop(c_acctbal) s FROM customer)""")
+def outlier_ratios(spark, d):  # noqa: ANN001, ANN201
+    df = table(spark, d, "customer")
+    of = {"tukey": outliers.TukeyTestParams(0.3, 1e-7), "mad": outliers.MADParams(1.5, 1e-7), "sma": outliers.SMAParams(1.5, 3)}
+    rows = [(m, round(outliers.solver(m, "c_acctbal", p, index_col="c_custkey").ratio(df), 6)) for m, p in of.items()]
+    return spark.createDataFrame(rows, "model string, ratio double")
+
+
 # --- imputation, entities -----------------------------------------------------------------------------------------
 
 _HOLED = "(SELECT p_partkey, p_brand, p_size, CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE p_type END AS p_type FROM part)"
@@ -387,6 +465,18 @@ def er_edges(spark, d):  # noqa: ANN001, ANN201
     return entities.weighted_edges(entities.token_blocks(df, ("text",), "item_id"))
 
 
+_PRUNED = """WITH t AS (SELECT DISTINCT item_id, unnest(string_split_regex(lower(text), '[^\\p{L}\\p{N}]')) AS block FROM (SELECT item_id, regexp_replace(text, '[^a-zA-Z0-9 ]', ' ', 'g') AS text FROM benchmark)), u AS (SELECT * FROM t WHERE block <> ''),
+e AS (SELECT x.item_id AS i, y.item_id AS j, CAST(count(*) AS DOUBLE) AS w FROM u x JOIN u y ON x.block = y.block AND x.item_id < y.item_id GROUP BY 1, 2),
+n AS (SELECT p, sum(w) / (count(*) + 1) AS t FROM (SELECT i AS p, w FROM e UNION ALL SELECT j, w FROM e) GROUP BY p)
+SELECT i, j, w FROM e JOIN n a ON a.p = i JOIN n b ON b.p = j WHERE w >= a.t AND w >= b.t"""
+
+
+@register(_PRUNED)
+def er_pruned_edges(spark, d):  # noqa: ANN001, ANN201
+    df = table(spark, d, "benchmark").withColumn("text", F.regexp_replace("text", "[^a-zA-Z0-9 ]", " "))
+    return entities.prune(entities.weighted_edges(entities.token_blocks(df, ("text",), "item_id")), comparison="and")
+
+
 @register()
 def er_entities(spark, d):  # noqa: ANN001, ANN201
     return entities.resolve(table(spark, d, "part"), ("p_name", "p_brand"), index_col="p_partkey").select("p_partkey", "cluster")
@@ -441,3 +531,39 @@ def merged_states(spark, d):  # noqa: ANN001, ANN201
     rows = [(name, instance, round(v, 6)) for m in store.compute().metrics.values() for _, instance, name, v in m.flatten()]
     return spark.createDataFrame(rows, "name string, instance string, value double")
 
+
+@register("SELECT 'Size' AS name, '*' AS instance, CAST(count(*) AS DOUBLE) AS value, 'b' AS tag FROM orders UNION ALL SELECT 'Maximum', 'o_totalprice', max(o_totalprice), 'b' FROM orders UNION ALL SELECT 'ApproxQuantile.0.5', 'o_totalprice', quantile_disc(o_totalprice, 0.5), 'b' FROM orders")
+def repository_metrics(spark, d):  # noqa: ANN001, ANN201
+    """Metrics stored under two keys and read back by tag."""
+    import uuid
+
+    from ..operators.graph import checkpoint_dir
+    from ..repository import FileSystemMetricsRepository, ResultKey
+
+    repo = FileSystemMetricsRepository(f"{checkpoint_dir(spark)}/metrics-{uuid.uuid4().hex}.json", spark)
+    wanted = [a.Size(), a.Maximum("o_totalprice"), a.ApproxQuantile("o_totalprice", 0.5, 1e-7)]
+    df = table(spark, d, "orders")
+    repo.save(ResultKey.of(1, {"tag": "a"}), analyze(df.where("o_orderstatus = 'F'"), wanted))
+    repo.save(ResultKey.of(2, {"tag": "b"}), analyze(df, wanted))
+    return repo.load().with_tag_values({"tag": "b"}).after(2).get_success_metrics_as_df(spark).select("name", "instance", "value", F.col("tags")["tag"].alias("tag"))
+
+
+@register("SELECT f AS format, n_nationkey, n_name, n_regionkey FROM nation, (VALUES ('csv'), ('json'), ('orc'), ('parquet')) t(f)")
+def readers_and_writers(spark, d):  # noqa: ANN001, ANN201
+    import uuid
+
+    from ..operators.graph import checkpoint_dir
+    from ..sources import io
+
+    df, folder = table(spark, d, "nation"), f"{checkpoint_dir(spark)}/io-{uuid.uuid4().hex}"
+    schema = df.schema
+    io.to_csv(df, f"{folder}/csv")
+    io.to_json(df, f"{folder}/json")
+    io.to_orc(df, f"{folder}/orc")
+    io.to_parquet(df, f"{folder}/parquet")
+    back = {"csv": io.from_csv(f"{folder}/csv", schema, spark=spark), "json": io.from_json(f"{folder}/json", schema, spark=spark), "orc": io.from_orc(f"{folder}/orc", spark=spark), "parquet": io.from_parquet(f"{folder}/parquet", spark=spark)}
+    out = None
+    for k, x in back.items():
+        part = x.select(F.lit(k).alias("format"), *df.columns)
+        out = part if out is None else out.unionByName(part)
+    return out
