@@ -6,8 +6,8 @@ bounded, hash-drawn sample of labelled rows.  Because mean and softmax layer are
 one table of class scores per bucket, so a text costs one table look-up per byte and order.
 
 Rejection is calibrated: a class of scrambled text is learned beside the languages, a temperature is fitted on
-labelled documents kept out of training, and a text is rejected if its probability of being in any language is under
-half of what all but ``reject_rate`` of those documents reach.  The score is the language's share among languages.
+labelled documents kept out of training, and a text is rejected if its probability of being in any language is under a
+quarter of what all but ``reject_rate`` of those documents reach.  The score is the language's share among languages.
 
 Defined results: null text, or text without a letter, gives ``und`` with score 0 (rejected).  With no labelled row
 at all every text gives ``und``.  Empty tables give empty results; rows are scored one by one, so repeated rows and
@@ -98,7 +98,7 @@ def _features(text: bytes) -> np.ndarray:
     return h[h > 0]
 
 
-def train(samples: list[tuple[str, str]], *, dim: int = 16, epochs: int = 4, span: int = 320, spans_per_text: int = 3, rate: float = 2.0, reject_rate: float = 0.001, seed: int = 7) -> LangModel:
+def train(samples: list[tuple[str, str]], *, dim: int = 16, epochs: int = 6, span: int = 320, spans_per_text: int = 3, rate: float = 2.0, reject_rate: float = 0.001, seed: int = 7) -> LangModel:
     """SGD over short spans of the sampled texts; a fifth of the texts is kept out and calibrates."""
     rng = np.random.default_rng(seed)
     langs = sorted({lang for _, lang in samples})
@@ -117,8 +117,8 @@ def train(samples: list[tuple[str, str]], *, dim: int = 16, epochs: int = 4, spa
             piece = raw[at : at + span]
             xs.append(_features(piece))
             ys.append(langs.index(samples[i][1]))
-            if rng.random() < 0.3:  # a text keeps its language when a part of it is in another
-                other = samples[int(rng.choice(fit))][0].encode()[: int(rng.integers(20, span // 2 - 20))]
+            if rng.random() < 0.5:  # a text keeps its language when a part of it is in another
+                other = samples[int(rng.choice(fit))][0].encode()[: int(rng.integers(20, span * 9 // 10))]
                 xs.append(_features(piece + b" " + other))
                 ys.append(langs.index(samples[i][1]))
             if rng.random() < 0.12:  # scrambled text teaches the background
@@ -170,7 +170,7 @@ def train(samples: list[tuple[str, str]], *, dim: int = 16, epochs: int = 4, spa
         return -np.log(np.maximum(model.probabilities(sums)[np.arange(len(truth)), truth], 1e-9)).mean()
 
     model.temperature = min((2.0**k for k in np.arange(-3, 3.1, 0.25)), key=loss)
-    model.threshold = 0.5 * float(min(1.0, np.quantile(1 - model.probabilities(sums)[:, -1], reject_rate)))
+    model.threshold = 0.25 * float(min(1.0, np.quantile(1 - model.probabilities(sums)[:, -1], reject_rate)))
     return model
 
 
