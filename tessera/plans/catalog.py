@@ -482,9 +482,17 @@ def er_entities(spark, d):  # noqa: ANN001, ANN201
     return entities.resolve(table(spark, d, "part"), ("p_name", "p_brand"), index_col="p_partkey").select("p_partkey", "cluster")
 
 
-@register()
+_WORDS_OF = " UNION ALL ".join(f"SELECT '{x}' AS attr, unnest(string_split_regex(lower({x}), '[^\\p{{L}}\\p{{N}}]')) AS t FROM part" for x in ("p_name", "p_brand", "p_type"))
+
+
+@register(f"""WITH c AS (SELECT attr, t, count(*) AS n FROM ({_WORDS_OF}) WHERE t <> '' GROUP BY ALL), s AS (SELECT attr, count(*) AS m FROM c GROUP BY attr),
+j AS (SELECT x.attr AS a, y.attr AS b, count(*) AS n FROM c x JOIN c y ON x.t = y.t GROUP BY ALL), l AS (SELECT a, b FROM j JOIN s sa ON sa.attr = a JOIN s sb ON sb.attr = b WHERE n::DOUBLE / (sa.m + sb.m - n) >= 0.3),
+k AS (SELECT l1.a AS attr, min(CASE l2.b WHEN 'p_name' THEN 0 WHEN 'p_brand' THEN 1 ELSE 2 END) AS cluster FROM l l1 JOIN l l2 ON l1.b = l2.a GROUP BY 1),
+m AS (SELECT cluster, t, sum(n)::DOUBLE AS n FROM c JOIN k USING (attr) GROUP BY ALL), e AS (SELECT cluster, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS entropy FROM m GROUP BY 1)
+SELECT attr, cluster, round(entropy, 6) AS entropy FROM k JOIN e USING (cluster)""")
 def er_attribute_clusters(spark, d):  # noqa: ANN001, ANN201
-    return entities.attribute_clusters(table(spark, d, "part"), ("p_name", "p_brand", "p_type"), "p_partkey")
+    out = entities.attribute_clusters(table(spark, d, "part"), ("p_name", "p_brand", "p_type"), "p_partkey")
+    return out.select("attr", "cluster", F.round("entropy", 6).alias("entropy"))
 
 
 # --- profiles, suggestions, states --------------------------------------------------------------------------------
