@@ -234,9 +234,9 @@ def pack(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "t
         for rb in batches:
             key_type = rb.column(0).type
             keys = rb.column(0).to_pylist()
-            for i in range(0, rb.num_rows, 64):
+            for i in range(0, rb.num_rows, 256):
                 out: list[tuple] = []
-                for k, ids in zip(keys[i : i + 64], ids_of(texts(rb.column(1).slice(i, 64))), strict=True):
+                for k, ids in zip(keys[i : i + 256], ids_of(texts(rb.column(1).slice(i, 256))), strict=True):
                     out += packer.add(k, np.concatenate([ids, end]))
                 if out:
                     yield rows(out)
