@@ -70,12 +70,10 @@ def purge(blocks: DataFrame, smooth: float = 1.015) -> DataFrame:
         total_b += r.n * r.size
         steps.append((r.size, total_c, total_b))
     cut = steps[-1][0] if steps else 0
-    prev_c, prev_b = (steps[-1][1], steps[-1][2]) if steps else (0, 0)
-    for size, cc, bc in reversed(steps):
-        if bc * prev_c < smooth * cc * prev_b:
-            cut = size
+    for (size, cc, bc), (_, below_cc, below_bc) in zip(steps[:0:-1], steps[-2::-1], strict=True):
+        cut = size
+        if below_bc * cc < smooth * below_cc * bc:  # without this level, comparisons an entry hardly fall
             break
-        prev_c, prev_b = cc, bc
     return blocks.where(F.col("size") <= cut)
 
 

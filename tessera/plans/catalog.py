@@ -479,7 +479,7 @@ def er_pruned_edges(spark, d):  # noqa: ANN001, ANN201
 
 @register()
 def er_entities(spark, d):  # noqa: ANN001, ANN201
-    return entities.resolve(table(spark, d, "part"), ("p_name", "p_brand"), index_col="p_partkey").select("p_partkey", "cluster")
+    return entities.resolve(table(spark, d, "benchmark"), ("text",), index_col="item_id").select("item_id", "cluster")
 
 
 _WORDS_OF = " UNION ALL ".join(f"SELECT '{x}' AS attr, unnest(string_split_regex(lower({x}), '[^\\p{{L}}\\p{{N}}]')) AS t FROM part" for x in ("p_name", "p_brand", "p_type"))

@@ -234,6 +234,16 @@ def test_entities(spark):
     assert {r.id for r in entities.resolve(arrays, ("words",)).collect()} == {1, 2}
 
 
+def test_purging_drops_levels_that_cost_more_than_they_hold(spark):
+    blocks = [(f"b{i}", p, 2) for i in range(50) for p in (2 * i, 2 * i + 1)] + [("huge", p, 100) for p in range(100)]
+    df = spark.createDataFrame(blocks, "block string, pid int, size int")
+    assert {r.size for r in entities.purge(df).select("size").distinct().collect()} == {2, 100}
+    more = df.unionByName(spark.createDataFrame([(f"m{i}", p, 3) for i in range(60) for p in range(3)], df.schema))
+    assert {r.size for r in entities.purge(more).select("size").distinct().collect()} <= {2, 3}
+    one = df.where("size = 100")
+    assert entities.purge(one).count() == 100
+
+
 def test_attribute_clusters_keep_tokens_apart(spark):
     rows = [(1, "paris hilton", "rome"), (2, "hilton", "paris"), (3, "london", "paris rome")]
     df = spark.createDataFrame(rows, "id long, name string, city string")
