@@ -26,7 +26,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import checkpoint, components
@@ -210,19 +210,34 @@ def shard_links(distinct: DataFrame, *, radius: int, blocks: int) -> DataFrame:
     return sharded.mapInArrow(run, "a long, b long")
 
 
+def fingerprint_roots(fps: DataFrame, low: Column, *, radius: int, blocks: int) -> DataFrame:
+    """(fp, low, root): each fingerprint with ``low`` over its rows, and the smallest fingerprint of its component."""
+    distinct = fps.groupBy("fp").agg(low.alias("low"))
+    member = components(shard_links(distinct.select("fp"), radius=radius, blocks=blocks))
+    return distinct.join(member, distinct.fp == member.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", radius: int = 3, blocks: int = 5) -> DataFrame:
     """Per row of docs: key, fingerprint (16 hexadecimal digits), component_id."""
     fps = checkpoint(fingerprints(docs, key=key, text=text))
-    distinct = fps.groupBy("fp").agg(F.min(key).alias("low"))
-    member = components(shard_links(distinct.select("fp"), radius=radius, blocks=blocks))
-    rooted = distinct.join(member, distinct.fp == member.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    rooted = fingerprint_roots(fps, F.min(key), radius=radius, blocks=blocks)
     low = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     by_fp = rooted.join(low, "root").select("fp", "component_id")
     return fps.join(by_fp, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_rows(docs: DataFrame, kept: DataFrame, *, key: str, text: str) -> DataFrame:
+    """The rows of docs that ``kept`` names by low (key, h: hash of the text), one for each."""
+    names = kept.select(F.col("low.key").alias("__k"), F.col("low.h").alias("__h")).distinct()
+    same = F.col("__key").eqNullSafe(F.col("__k")) & (F.col("__x") == F.col("__h"))
+    rows = docs.withColumns({"__key": F.col(key), "__x": F.xxhash64(text)})
+    return rows.join(names, same).dropDuplicates(["__key", "__x"]).select(docs.columns)
+
+
 def deduplicate(docs: DataFrame, *, key: str = "doc_id", text: str = "text", radius: int = 3, blocks: int = 5) -> DataFrame:
-    """The rows of docs whose key is the smallest of their group, one of them for each key."""
-    found = near_duplicates(docs, key=key, text=text, radius=radius, blocks=blocks)
-    keep = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__k")).distinct()
-    return docs.join(keep, docs[key].eqNullSafe(keep["__k"])).drop("__k").dropDuplicates([key])
+    """One row of docs for each group: the one with the smallest key (nulls last), ties by the hash of the text.  Rows are
+    told apart by key and text, so other texts with the same key, or without one, are judged by themselves."""
+    named = docs.select(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.xxhash64(text).alias("h")).alias("row"), F.col(text).alias("text"))
+    fps = checkpoint(fingerprints(named, key="row", text="text"))
+    rooted = fingerprint_roots(fps, F.min("row"), radius=radius, blocks=blocks)
+    return keep_rows(docs, rooted.groupBy("root").agg(F.min("low").alias("low")), key=key, text=text)

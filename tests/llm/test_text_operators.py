@@ -184,3 +184,12 @@ def test_simhash_without_rows(spark):
     twice = spark.createDataFrame([(3, "a b c d"), (3, "a b c d"), (None, "a b c d")], "doc_id long, text string")
     assert [r.component_id for r in simhash.near_duplicates(twice).collect()] == [3, 3, 3]
     assert [r.doc_id for r in simhash.deduplicate(twice).collect()] == [3]
+
+
+def test_simhash_keeps_other_texts_of_a_key(spark):
+    """Different texts without a key, or with the same key, all stay; a copy of a smaller id goes, the clean text of its key stays."""
+    far = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(6)]
+    rows = [(None, far[0]), (None, far[1]), (None, far[1]), (5, far[2]), (5, far[3]), (1, far[4]), (5, far[4]), (None, None), (2, far[5])]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted([(None, far[0]), (None, far[1]), (5, far[2]), (5, far[3]), (1, far[4]), (None, None), (2, far[5])], key=str)
+    assert sorted((tuple(r) for r in simhash.deduplicate(d).collect()), key=str) == want
