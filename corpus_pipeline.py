@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontam, langid, packing, secrets, simhash
+from tessera.llm import decontam, langid, neardup, packing, secrets
 from tessera.llm.common import checkpoint_dir, read, small_batches
 from tessera.llm.queries import tokenizer_path
 
@@ -20,9 +20,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group of near copies."""
+    """One document, the one with the smallest id, of each group of near copies: Jaccard similarity 0.8 of five-word shingles."""
     small_batches(spark)
-    return simhash.deduplicate(docs)
+    return neardup.deduplicate(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack),
 ]
 
-#: Learned models, SimHash components and tokenizers are beyond SQL; tests compare with brute force instead.
+#: Learned models, near-copy groups and tokenizers are beyond SQL; tests compare with brute force instead.
 ORACLE_SQL = None
 
 

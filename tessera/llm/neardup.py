@@ -1,0 +1,138 @@
+"""Near-duplicate removal by word shingles: Jaccard similarity of ``similarity`` or more, checked exactly on every candidate.
+
+A text's set: the hashes (XXH64) of its shingles of five words, A-Z lower-cased; texts of fewer words have one shingle, and
+all texts without words (null texts too) have the same, empty set.  Texts with equal sets are one node from the start.
+
+Candidates come from MinHash bands: a node falls into ``BANDS`` buckets, each named by ``ROWS`` minima, so two sets of
+similarity s share none with probability (1 - s^6)^32: 0.00006 at 0.8, less above.  Inside a bucket all pairs of different
+components whose sizes allow the similarity are compared: first all with one leader, which joins a group of n copies with
+n - 1 pairs; then, in buckets that still hold several components, with eight more leaders; then all pairs left.
+Verified pairs are links, connected nodes are one group.
+
+Defined results: of each group stays the row with the smallest key (nulls last), ties by the hash of the text; rows that
+repeat key and text are one.  Rows are told apart by key and text, so rows that share a key or have none are kept apart.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..operators.graph import checkpoint, components
+from .common import groups_by_bytes, utf8
+from .simhash import keep_rows, shingle_hashes
+
+WIDTH, ROWS, BANDS = 5, 6, 32
+LEADERS = (0, 1, 9, 1 << 31)
+
+_rng = np.random.default_rng(192)
+_MASK = _rng.integers(0, 1 << 63, ROWS * BANDS, dtype=np.uint64)
+_TIMES = _rng.integers(0, 1 << 63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_set(text: bytes) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(text, WIDTH), np.uint64))
+
+
+def band_words(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set, none of them empty, the names of its buckets."""
+    flat = np.concatenate(sets)
+    at = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
+    low = np.stack([np.minimum.reduceat((flat ^ m) * t, at) for m, t in zip(_MASK, _TIMES, strict=True)], axis=1)
+    data = np.ascontiguousarray(low).tobytes()
+    step = 8 * ROWS
+    return np.array([xxhash.xxh64_intdigest(data[k : k + step], i % BANDS) for i, k in enumerate(range(0, len(data), step))], np.uint64).reshape(-1, BANDS).view(np.int64)
+
+
+def sketches(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: __key, h (hash of the text), node (hash of its set), size of the set, names of its buckets."""
+    plain = docs.select(F.col(key).alias("__key"), F.xxhash64(text).alias("h"), F.col(text).alias("__text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            raw, off = utf8(rb.column(2))
+            data = raw.tobytes()
+            nodes, sizes, words = np.zeros(rb.num_rows, np.uint64), np.zeros(rb.num_rows, np.int32), [[]] * rb.num_rows
+            for i, j in groups_by_bytes(off, 1 << 20):
+                sets = [shingle_set(data[off[r] : off[r + 1]]) for r in range(i, j)]
+                nodes[i:j] = [xxhash.xxh64_intdigest(s.tobytes()) for s in sets]
+                sizes[i:j] = [len(s) for s in sets]
+                full = [r for r in range(i, j) if sizes[r]]
+                for r, w in zip(full, band_words([s for s in sets if len(s)]) if full else (), strict=True):
+                    words[r] = w
+            yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), pa.array(nodes.view(np.int64)), pa.array(sizes), pa.array(words, pa.list_(pa.int64()))], names=["__key", "h", "node", "size", "words"])
+
+    return plain.mapInArrow(run, f"__key {plain.schema[0].dataType.simpleString()}, h long, node long, size int, words array<long>")
+
+
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """(node, set) from (node, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            raw, off = utf8(rb.column(1))
+            data = raw.tobytes()
+            yield pa.RecordBatch.from_arrays([rb.column(0), pa.array([shingle_set(data[off[r] : off[r + 1]]).tobytes() for r in range(rb.num_rows)], pa.binary())], names=["node", "set"])
+
+    return texts.mapInArrow(run, "node long, set binary")
+
+
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets have the similarity at least."""
+    side = lambda s: sets.select(F.col("node").alias(s), F.col("set").alias(f"s{s}"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            ok = []
+            for x, y in zip(pdf["sa"], pdf["sb"], strict=True):
+                u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(u, v, assume_unique=True))
+                ok.append(both >= similarity * (len(u) + len(v) - both))
+            yield pdf.loc[ok, ["a", "b"]]
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a long, b long")
+
+
+def linked(rows: DataFrame, docs: DataFrame, similarity: float, *, key: str, text: str) -> DataFrame:
+    """(a, b): links that join the nodes of the rows into their groups."""
+    every = rows.dropDuplicates(["node"]).select("node", "size", F.explode("words").alias("w"))
+    bucket = Window.partitionBy("w")
+    counted = every.withColumns({"n": F.count(F.lit(1)).over(bucket), "rank": F.row_number().over(bucket.orderBy("node")) - 1})
+    buckets = checkpoint(counted.where("n > 1"))
+    first = rows.join(buckets.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("__key", "h")).alias("f"))
+    first = first.select("node", F.col("f.__key").alias("__key"), F.col("f.h").alias("__h"))
+    texts = docs.select(F.col(key).alias("__k"), F.xxhash64(text).alias("__x"), F.col(text).alias("__text"))
+    texts = texts.join(first, F.col("__k").eqNullSafe(F.col("__key")) & (F.col("__x") == F.col("__h"))).dropDuplicates(["node"])
+    sets = checkpoint(shingle_sets(texts.select("node", "__text")))
+    most = buckets.agg(F.max("n")).first()[0] or 0
+    links = tried = None
+    for lo, hi in zip(LEADERS[:-1], LEADERS[1:], strict=True):
+        if lo >= most - 1:
+            break
+        rooted = buckets.withColumn("root", F.col("node"))
+        if links is not None:
+            rooted = checkpoint(buckets.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node")))
+        side = lambda s: rooted.select("w", *[F.col(c).alias(f"{c}{s}") for c in ("node", "size", "rank", "root")])  # noqa: E731, B023
+        small, large = F.least("size1", "size2"), F.greatest("size1", "size2")
+        met = side(1).where((F.col("rank1") >= lo) & (F.col("rank1") < hi)).join(side(2), "w").where("rank2 > rank1 AND root1 <> root2").where(small >= similarity * large)
+        pairs = met.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
+        pairs = checkpoint(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = pairs if tried is None else tried.union(pairs)
+        good = checkpoint(similar(pairs, sets, similarity))
+        links = good if links is None else links.union(good)
+    return links if links is not None else buckets.select(F.col("node").alias("a"), F.col("node").alias("b"))
+
+
+def deduplicate(docs: DataFrame, *, key: str = "doc_id", text: str = "text", similarity: float = 0.8) -> DataFrame:
+    """One row of docs, the one with the smallest key, of each group of near copies."""
+    rows = checkpoint(sketches(docs, key=key, text=text))
+    member = components(linked(rows, docs, similarity, key=key, text=text))
+    low = rows.groupBy("node").agg(F.min(F.struct(F.col("__key").isNull().alias("none"), F.col("__key").alias("key"), "h")).alias("low"))
+    rooted = low.join(member, "node", "left").select("low", F.coalesce("root", "node").alias("root"))
+    return keep_rows(docs, rooted.groupBy("root").agg(F.min("low").alias("low")), key=key, text=text)
