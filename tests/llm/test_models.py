@@ -215,6 +215,19 @@ def test_links_equal_brute_force_on_a_fixture(spark):
     assert np.mean([got[i] == label[i] for i in range(len(pics))]) >= 0.9
 
 
+@pytest.mark.parametrize("alone", [1, 7])
+def test_copies_behind_unrelated_leaders_of_a_bucket(spark, monkeypatch, alone):
+    """One bucket for all images: unrelated ones lead the rounds, two copies come last; then six groups of copies."""
+    true = media.keypoints
+    monkeypatch.setattr(media, "keypoints", lambda *a, **k: true(*a, **k).withColumn("words", F.array(F.lit(1).cast("long"))))
+    pics = [_picture(s) for s in range(alone)] + [_picture(50), (_picture(50) * 0.9 + 8).astype(np.uint8)]
+    if alone > 1:
+        pics += [x for s in range(60, 66) for x in (_picture(s), (_picture(s) * 0.9 + 8).astype(np.uint8))]
+    want = {i: i - ((i - alone) % 2 if i >= alone else 0) for i in range(len(pics))}
+    df = spark.createDataFrame([(i, media.encode(p)) for i, p in enumerate(pics)], "media_id long, image binary")
+    assert {r.media_id: r.component_id for r in media.copies(df).collect()} == want
+
+
 def test_decoding():
     x = np.arange(12, dtype=np.uint8).reshape(3, 4)
     assert (media.decode(media.encode(x)) == x).all()
