@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +23,30 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds the Arrow batches handed to Python, because a row here is a whole document."""
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
+    """Bounds the Arrow batches handed to Python, by rows and by bytes, because a row here is a whole document.  Queries are lazy,
+    so the session keeps these settings; the registered queries set them, the operators do not."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """Gives freed memory back to the system when a task ends: workers live on, and several wait beside each other."""
+
+    @wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # another C library
+            pass
+
+    return wrapped
+
+
+def broadcast_if(small: DataFrame, rows: int = 200_000) -> DataFrame:
+    """With a broadcast hint if the rows (a few fixed-size columns each) are few; else a shuffle joins it."""
+    return F.broadcast(small) if small.limit(rows + 1).count() <= rows else small
 
 
 def ascii_lower(c: Column) -> Column:

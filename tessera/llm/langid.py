@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, hash_fraction, utf8
+from .common import BLOCK_BYTES, frugal, hash_fraction, utf8
 
 UND = "und"
 _BUCKET_BITS = 16
@@ -194,6 +194,7 @@ def detect(docs: DataFrame, model: LangModel, *, key: str = "doc_id", text: str
     fields = {f.name: f.dataType.simpleString() for f in plain.schema}
     kept = "".join(f", __keep{i} {fields[f'__keep{i}']}" for i in range(len(keep)))
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for rb in batches:

@@ -8,7 +8,7 @@ block is partitioned again with one window more.  Blocks never cross tasks and a
 are stored, so a task that is run again gives the same rows, and memory is bounded by a block and a document.
 
 Token ids come from a ``tokenizers`` file whose pre-tokens never cross white space: ids of white-space-separated words are kept
-in a bounded table of each Python worker.  Texts with characters for which this is not known to equal the whole-text
+in a table of each Python worker, bounded in bytes.  Texts with characters for which this is not known to equal the whole-text
 result (combining marks, other scripts, control characters, the special tokens' strings) are handed to the library whole.
 
 Defined results: null and empty texts have the end id alone.  Rows are packed one by one: repeated rows and null keys
@@ -18,6 +18,7 @@ are packed as often as they come.  Other columns are ignored; empty tables give
 from __future__ import annotations
 
 import heapq
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -25,11 +26,12 @@ from itertools import chain, count, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import frugal, groups_by_bytes, texts
 
 #: Characters whose normal form, lower case and word limits are the same everywhere.
 _PLAIN = re.compile("[\t\n\x0b\x0c\r\x20-\x7e\xa1-\xac\xae-įı-ɏ‐-―‘-‧‰-⁞€]*")
@@ -43,7 +45,9 @@ class WordIds:
 
     MARKS = ".,;:!?"
 
-    def __init__(self, path: str, most: int = 1_000_000) -> None:
+    def __init__(self, path: str, most: int = 64 << 20) -> None:
+        """most: bytes of the table, by about 120 for each word beside its text and ids."""
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker is one of many; threads would each hold memory
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -61,7 +65,7 @@ class WordIds:
 
     def _clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.n_words, self.n_ids = 0, 0
+        self.n_words, self.n_ids, self.size = 0, 0, 0
         self.starts, self.flat = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32)
 
     def _add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
@@ -73,6 +77,7 @@ class WordIds:
         self.starts[self.n_words + 1 : n + 1] = self.n_ids + np.cumsum(sizes)
         self.flat[self.n_ids : m] = ids
         self.at.update(zip(words, range(self.n_words, n), strict=True))
+        self.size += 4 * len(ids) + 120 * len(words) + sum(map(len, words))
         self.n_words, self.n_ids = n, m
 
     def _gather(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,7 +125,7 @@ class WordIds:
         k = np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
         if (k < 0).any():
             unknown = np.flatnonzero(k < 0)
-            if len(self.at) + 2 * len(unknown) > self.most:
+            if self.size > self.most:
                 self._clear()
                 unknown = np.arange(len(words))
             self._learn(list({words[i] for i in unknown.tolist()}))
@@ -220,6 +225,7 @@ def pack(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "t
     plain = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
     names = ["__key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, packer = word_ids(tokenizer), Packer(capacity, piece, windows, slack)
         context = TaskContext.get()
@@ -234,12 +240,15 @@ def pack(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "t
         for rb in batches:
             key_type = rb.column(0).type
             keys = rb.column(0).to_pylist()
-            for i in range(0, rb.num_rows, 256):
-                out: list[tuple] = []
-                for k, ids in zip(keys[i : i + 256], ids_of(texts(rb.column(1).slice(i, 256))), strict=True):
-                    out += packer.add(k, np.concatenate([ids, end]))
-                if out:
-                    yield rows(out)
+            sizes = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(rb.column(1)), 0).to_numpy(zero_copy_only=False))])
+            for a, b in groups_by_bytes(sizes, 1 << 20):
+                for i in range(a, b, 256):
+                    out: list[tuple] = []
+                    n = min(256, b - i)
+                    for k, ids in zip(keys[i : i + n], ids_of(texts(rb.column(1).slice(i, n))), strict=True):
+                        out += packer.add(k, np.concatenate([ids, end]))
+                    if out:
+                        yield rows(out)
         if out := list(packer.finish()):
             yield rows(out)
 

@@ -157,8 +157,6 @@ def test_simhash_equals_brute_force(spark, blocks):
     got = {tuple(r) for r in simhash.near_duplicates(d, blocks=blocks).collect()}
     want = brute_simhash(docs)
     assert got == want
-    kept = [r.doc_id for r in simhash.deduplicate(d, blocks=blocks).collect()]
-    assert sorted(kept) == sorted({c for _, _, c in want})
 
 
 def test_simhash_chain_of_links(spark):
@@ -179,6 +177,41 @@ def test_simhash_chain_of_links(spark):
     assert len(set(comp.values())) == 1 and len(comp.keys() | set(comp.values())) == len(set(fps))
 
 
+def test_shards_beyond_the_limit_are_split(spark):
+    """200,000 fingerprints in one shard, among them chains; and a limit so small that every shard is split twice."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    top = 0x5A5A5A5 << 36
+    far = rng.integers(0, 1 << 36, 200_000) | top
+    assert len({int(x) & simhash.shard_masks(5, 3)[-1] for x in far}) == 1
+    near = np.concatenate([far[:300] ^ (1 << 5) ^ (1 << 20), far[:300] ^ (1 << 50), far[300:400] ^ 0b1111])
+    fps = np.unique(np.concatenate([far, near]))
+    d = spark.createDataFrame(__import__("pandas").DataFrame({"fp": fps}))
+    got = {frozenset(r) for r in simhash.shard_links(d, radius=3, blocks=5, limit=20_000).distinct().collect()}
+    label = {int(x): int(x) for x in fps}
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for pair in got:
+        a, b = map(root, pair)
+        label[max(a, b)] = min(a, b)
+    for x in map(int, far[:300]):
+        assert root(x) == root(x ^ (1 << 5) ^ (1 << 20)) == root(x ^ (1 << 50))
+    few = np.unique(np.concatenate([far[:400], near]))
+    forest = simhash.BKForest(few.view(np.uint64), np.zeros(len(few), int))
+    want = simhash.forest_components(forest, 3)
+    tiny = spark.createDataFrame(__import__("pandas").DataFrame({"fp": few}))
+    roots = {r.node: r.root for r in simhash.components(simhash.shard_links(tiny, radius=3, blocks=5, limit=2)).collect()}
+    low = {}
+    for x, c in zip(few.tolist(), want.tolist(), strict=True):
+        low[c] = min(low.get(c, x), x)
+    assert all(roots.get(x, x) == low[c] for x, c in zip(few.tolist(), want.tolist(), strict=True))
+
+
 def test_simhash_without_rows(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     twice = spark.createDataFrame([(3, "a b c d"), (3, "a b c d"), (None, "a b c d")], "doc_id long, text string")
