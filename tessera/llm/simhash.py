@@ -19,9 +19,10 @@ more.  At that similarity fingerprints differ in some ten bits, more than blocks
 by minima of the shingles' hashes instead: of ``SHARDS`` names, each made of ``ROWS`` minima, two texts of similarity s
 share none with probability (1 - s^5)^20: 0.0004 at 0.8, 0.00001 at 0.85.  In a shard BK-trees find each fingerprint's nearest
 within ``reach`` bits (at 0.8 more than 24 bits differ with probability 0.00001), and every such pair is checked exactly.
-What is linked is then left out, and the search goes on between the groups of a shard until all pairs of different
-groups within reach have been checked.  Shards of over ``limit`` texts are searched in slices, and between slices only from
-texts outside the shard's largest group.
+The groups so found stay in shards
+that still hold several; there the texts outside the shard's largest group are compared exactly with all texts of other
+groups within reach, their sets at hand, and only links that join groups leave the task.  Shards of many texts are
+searched in slices, and those texts visit all slices of their shard.
 
 Components are found by alternating large-star and small-star rounds, each cut by a checkpoint in the shared folder.
 
@@ -358,11 +359,6 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
 
 
-def may_match(size: str, other_size: str, similarity: float) -> Column:
-    """Whether the sizes allow the similarity."""
-    return F.least(size, other_size) >= similarity * F.greatest(size, other_size)
-
-
 def nearest(rows: DataFrame, *, k: int, reach: int, similarity: float) -> DataFrame:
     """Of each row of a slice (w, s) the k nearest nodes of other roots within reach: (w, s, hot, node, fp, size, other).  Rows of
     hot shards that find none stay, with a null."""
@@ -408,57 +404,84 @@ def nearest(rows: DataFrame, *, k: int, reach: int, similarity: float) -> DataFr
     return ordered.mapInArrow(run, "w long, s int, hot boolean, node long, fp long, size int, other long")
 
 
-def paired(found: DataFrame, tried: DataFrame | None = None) -> DataFrame:
-    pairs = found.where("other IS NOT NULL").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    return checkpoint(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-
-
 def first_rows(docs: DataFrame, names: DataFrame, *, key: str, text: str) -> DataFrame:
     """(node, text) for names (node, __key, h)."""
     texts = docs.select(F.col(key).alias("__k"), F.xxhash64(text).alias("__x"), F.col(text).alias("__text"))
     return texts.join(broadcast_if(names), F.col("__k").eqNullSafe(F.col("__key")) & (F.col("__x") == F.col("h"))).select("node", "__text")
 
 
-def linked(rows: DataFrame, docs: DataFrame, *, similarity: float, reach: int, limit: int, key: str, text: str) -> DataFrame | None:
+def linked(rows: DataFrame, docs: DataFrame, *, similarity: float, reach: int, limit: int, room: int, key: str, text: str) -> DataFrame:
     """(a, b): links that join the nodes of the sketched rows into their groups."""
     every = rows.dropDuplicates(["node"]).select(F.explode("words").alias("w"), "node", "fp", "size")
-    large = checkpoint(every.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit))
+    need = F.greatest(F.ceil(F.count(F.lit(1)) / limit), F.ceil(F.sum(F.col("size").cast("long")) / room))
+    large = checkpoint(every.groupBy("w").agg(need.alias("n")).where("n > 1"))
     if large.isEmpty():
         every = every.withColumns({"s": F.lit(0), "hot": F.lit(False)})
     else:
-        slices = F.ceil(F.col("n") / limit)
-        every = every.join(large, "w", "left").withColumns({"s": F.coalesce(F.pmod(F.xxhash64("node"), slices).cast("int"), F.lit(0)), "hot": F.col("n").isNotNull()}).drop("n")
+        every = every.join(large, "w", "left").withColumns({"s": F.coalesce(F.pmod(F.xxhash64("node"), F.col("n")).cast("int"), F.lit(0)), "hot": F.col("n").isNotNull()}).drop("n")
     near = checkpoint(nearest(every.withColumn("root", F.col("node")), k=1, reach=reach, similarity=similarity))
-    tried = paired(near)
+    pairs = checkpoint(near.where("other IS NOT NULL").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
     wanted = near.select("node").unionByName(near.where("other IS NOT NULL").select(F.col("other").alias("node"))).distinct()
     names = rows.groupBy("node").agg(F.min(F.struct("__key", "h")).alias("f")).join(wanted, "node", "left_semi")
     names = checkpoint(names.select("node", "f.__key", "f.h"))
     sets = checkpoint(shingle_sets(first_rows(docs, names, key=key, text=text).dropDuplicates(["node"])))
-    links = checkpoint(similar(tried, sets, similarity))
-    rest = near.drop("other")
-
-    def mixed(by: list[str]) -> DataFrame:
-        """The rows of shards (or slices) that still hold several groups, with the group."""
-        rooted = rest.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        several = rooted.groupBy(*by).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(*by)
-        return checkpoint(rooted.join(several, by, "left_semi"))
-
-    again = paired(nearest(mixed(["w", "s"]), k=4, reach=reach, similarity=similarity), tried)
-    tried, links = tried.unionByName(again), checkpoint(links.unionByName(similar(again, sets, similarity)))
-    left = mixed(["w"])
-    if not left.isEmpty():  # all pairs between groups, from every row outside the shard's largest group
-        main = left.groupBy("w", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("w").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
-        odd = left.join(main, "w").where("root <> main").select("w", F.col("node").alias("o"), F.col("fp").alias("ofp"), F.col("size").alias("osize"), F.col("root").alias("oroot"))
-        near_enough = (F.bit_count(F.col("fp").bitwiseXOR(F.col("ofp"))) <= reach) & may_match("size", "osize", similarity)
-        last = paired(odd.join(left, "w").where((F.col("root") != F.col("oroot")) & near_enough).select("node", F.col("o").alias("other")), tried)
-        links = checkpoint(links.unionByName(similar(last, sets, similarity)))
-    return links
-
-
-def deduplicate(docs: DataFrame, *, key: str = "doc_id", text: str = "text", similarity: float = 0.8, reach: int = 24, limit: int = 8192) -> DataFrame:
-    """One row of docs, the one with the smallest key, of each group of near copies."""
+    links = checkpoint(similar(pairs, sets, similarity))
+    rooted = near.drop("other").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = rooted.groupBy("w").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("s").alias("last")).where("lo <> hi").select("w", "last")
+    mixed = checkpoint(rooted.join(several, "w"))  # shards that still hold several groups
+    main = mixed.groupBy("w", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("w").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
+    asked = mixed.join(main, "w").withColumn("query", F.col("root") != F.col("main")).drop("main", "hot")
+    guests = asked.where("query AND last > 0").withColumn("home", F.col("s")).withColumn("s", F.explode(F.sequence(F.lit(0), "last"))).where("s <> home").withColumn("guest", F.lit(True)).drop("home")
+    rows_ = asked.withColumn("guest", F.lit(False)).unionByName(guests).join(sets, "node")
+    return links.unionByName(searched(rows_, reach=reach, similarity=similarity))
+
+
+def searched(rows: DataFrame, *, reach: int, similarity: float) -> DataFrame:
+    """(a, b): links between the groups (root) of each slice (w, s), from its ``query`` rows to all but guests of other slices.  A
+    slice's sets come to its task once, and only links that join two groups leave it."""
+    ordered = rows.select("w", "s", "node", "fp", "size", "root", "query", "guest", "set").repartition("w", "s").sortWithinPartitions("w", "s", "node")
+
+    def links(node: np.ndarray, fp: np.ndarray, size: np.ndarray, root: np.ndarray, query: np.ndarray, guest: np.ndarray, sets: np.ndarray) -> list[tuple[int, int]]:
+        got: list[tuple[int, int]] = []
+        bits, label = np.ascontiguousarray(fp).view(np.uint64), np.unique(root, return_inverse=True)[1]
+        ids = np.unique(np.frombuffer(b"".join(sets), np.uint64), return_inverse=True)[1]
+        at = np.concatenate([[0], np.cumsum(size)])
+        alone = np.add.reduceat(np.bincount(ids)[ids] == 1, at[:-1]) if len(ids) else np.zeros(len(node))
+        mark = np.zeros(int(ids.max()) + 1 if len(ids) else 0, bool)
+        for q in np.flatnonzero(query & (size - alone >= similarity * size)):  # a shingle of no other text lowers all similarities
+            fits = (label != label[q]) & ~guest & (np.bitwise_count(bits ^ bits[q]) <= reach) & (np.minimum(size, size[q]) >= similarity * np.maximum(size, size[q]))
+            c = np.flatnonzero(fits)
+            if not len(c):
+                continue
+            mark[ids[at[q] : at[q + 1]]] = True
+            for k in range(0, len(c), 1024):
+                part = c[k : k + 1024]
+                n = size[part].astype(np.int64)
+                both = np.add.reduceat(mark[ids[np.repeat(at[part] - np.cumsum(n) + n, n) + np.arange(n.sum())]], np.cumsum(n) - n, dtype=np.int64)
+                for x in part[both >= similarity * (n + size[q] - both)].tolist():
+                    if label[x] != label[q]:
+                        got.append((int(node[q]), int(node[x])))
+                        label[label == label[x]] = label[q]
+            mark[ids[at[q] : at[q + 1]]] = False
+        return got
+
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in whole_runs(batches, 2):
+            first = np.flatnonzero(_runs(*columns[:2])).tolist()
+            for i, j in zip(first, [*first[1:], len(columns[0])], strict=True):
+                if columns[6][i:j].any() and (got := links(*[c[i:j] for c in columns[2:]])):
+                    a, b = zip(*got, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return ordered.mapInArrow(run, "a long, b long")
+
+
+def deduplicate(docs: DataFrame, *, key: str = "doc_id", text: str = "text", similarity: float = 0.8, reach: int = 24, limit: int = 8192, room: int = 4_000_000) -> DataFrame:
+    """One row of docs, the one with the smallest key, of each group of near copies.  A slice of a shard has ``limit`` texts and
+    ``room`` shingles at most, but for a single longer text."""
     rows = checkpoint(sketches(docs, key=key, text=text))
-    member = components(linked(rows, docs, similarity=similarity, reach=reach, limit=limit, key=key, text=text))
+    member = components(linked(rows, docs, similarity=similarity, reach=reach, limit=limit, room=room, key=key, text=text))
     row = F.struct(F.col("__key").isNull().alias("none"), F.col("__key").alias("key"), "h").alias("row")
     named = rows.select("node", row).groupBy("node", "row").agg(F.count(F.lit(1)).alias("n")).join(member, "node", "left").select("row", "n", F.coalesce("root", "node").alias("root"))
     named = checkpoint(named)
