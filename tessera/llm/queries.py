@@ -82,7 +82,7 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     held = crc_mod("doc_id", 7) == 2
     model, counts = lm.fit(docs, tokenizer_path("byte_bpe_50k.tiktoken"), where=~held)
-    return lm.score(docs, model, counts).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return lm.score(docs, model, counts).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "spelled_score")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -131,44 +131,113 @@ def test_lm_without_training_rows_or_rows(spark):
     assert lm.score(df.limit(0), model, counts).count() == 0
 
 
-def _tiny(vocab=40, classes=5, seed=0):
+def _tiny(vocab=40, classes=5, seed=0, steps=20):
     rng = np.random.default_rng(seed)
-    texts = [rng.integers(0, vocab - 1, rng.integers(1, 60)) for _ in range(20)]
+    sizes = [rng.integers(1, 4, rng.integers(0, 40)) for _ in range(20)]
+    texts = [rng.integers(0, vocab - 1, n.sum()) for n in sizes]
     cls = lm.classify(texts, vocab, classes, vocab - 1, rng)
     cells = rng.integers(0, 9, (classes + 1, vocab)).astype(float)
-    return lm.train(texts, cls, lm.emissions(cells, cls), vocab - 1, window=8, stride=6, steps=20, batch=8), texts
+    net = lm.network(cls, cells, rng.integers(0, 9, vocab).astype(float), rng.integers(0, 5, vocab).astype(float), dim=6, hidden=8, window=8, stride=6, slots=16, rng=rng)
+    ids, n = np.concatenate([np.append(t, vocab - 1) for t in texts]), np.concatenate([np.append(k, 1) for k in sizes])
+    w = lm.Words.of(ids, n, np.array([len(k) + 1 for k in sizes]), vocab - 1)
+    return lm.train(net, w, steps=steps, batch=8) if steps else net, w, texts, sizes
+
+
+def plain_scores(net, ids, sizes):
+    """Log probabilities of the words of one text, word by word in loops; the last word is the end."""
+    p, d, out, at = net.params, net.params["E"].shape[1], [], 0
+    words = []
+    for n in sizes:
+        words.append([int(x) for x in ids[at : at + n]])
+        at += n
+    soft = lambda z: np.log(np.exp(z) / np.exp(z).sum())
+    for place, word in enumerate(words):
+        k = 0 if place < net.window else -(-(place - net.window + 1) // net.stride)  # the first window that holds the word
+        x = [np.mean([p["E"][net.slot[i]] for i in (words[q - 1] if q else [net.end])], axis=0) + p["P"][q - k * net.stride] for q in range(k * net.stride, place + 1)]
+        q, *_ = np.split(x[-1] @ p["qkv"], 3)
+        keys, values = [v @ p["qkv"][:, d : 2 * d] for v in x], [v @ p["qkv"][:, 2 * d :] for v in x]
+        a = np.exp([q @ key * d**-0.5 for key in keys])
+        h = x[-1] + (a[:, None] * values).sum(0) / a.sum() @ p["o"]
+        z = (h + np.maximum(h @ p["w1"] + p["b1"], 0) @ p["w2"]) @ p["u"] + p["c"]
+        first = soft(z)[net.cls[word[0]]] + net.inside[-1, word[0]]
+        rest = net.end_here[word[-1]]
+        for last, i in zip(word, word[1:]):
+            rest += net.go_on[last] + soft(z + p["S"][net.cls[last]])[net.cls[i]] + net.inside[net.cls[last], i]
+        out.append((first, rest))
+    return np.array(out)
+
+
+def test_scores_equal_plain_loops():
+    net, w, texts, sizes = _tiny()
+    first, rest = lm.word_scores(net, w, batch=3)
+    want = np.concatenate([plain_scores(net, np.append(t, 39), np.append(n, 1)) for t, n in zip(texts, sizes, strict=True)])
+    assert np.allclose(first, want[:, 0], atol=1e-4) and np.allclose(rest, want[:, 1], atol=1e-4)
+
+
+def test_probabilities_sum_to_one():
+    net, w, _, _ = _tiny()
+    z, _ = lm.forward(net.params, lm.vectors(net.params, net.slot, w.ids, w.sizes)[None, :8])
+    for state in range(len(net.inside)):
+        s = z + (net.params["S"][state] if state < len(net.inside) - 1 else 0)
+        p = np.exp(s - s.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        assert np.allclose((p[:, net.cls] * np.exp(net.inside[state])[None]).sum(1), 1, atol=1e-4)
+    assert np.allclose(np.exp(net.end_here) + np.exp(net.go_on), 1)
 
 
-def test_probabilities_of_all_subwords_sum_to_one():
-    net, _ = _tiny()
-    z, _ = lm.forward(net.params, np.array([[3, 1, 4, 1, 5, 9, 2, 6]]))
-    p = np.exp(z - z.max(1, keepdims=True))
-    p /= p.sum(1, keepdims=True)
-    for state in range(len(net.inside)):
-        total = (p[:, net.cls] * np.exp(net.inside[state])[None]).sum(1)
-        assert np.allclose(total, 1, atol=1e-4)
-
-
-def test_each_token_is_scored_once_from_what_stands_before_it():
-    net, texts = _tiny()
-    lens = np.array([len(t) + 1 for t in texts])
-    idx, there, scored = lm.windows(lens, net.window, net.stride)
-    assert sorted(idx[scored].tolist()) == list(range(lens.sum())) and not (scored & ~there).any()
-    ids = np.concatenate([np.append(t, 39) for t in texts])
-    first = np.zeros(len(ids), bool)
-    whole = lm.token_scores(net, ids, lens, first, 39, batch=3)
-    alone = np.concatenate([lm.token_scores(net, np.append(t, 39), np.array([len(t) + 1]), np.zeros(len(t) + 1, bool), 39) for t in texts])
-    assert np.allclose(whole, alone, atol=1e-4)
-    other = ids.copy()
-    other[lens[0] - 2] = (other[lens[0] - 2] + 1) % 38  # what comes later changes nothing before it
-    assert np.allclose(lm.token_scores(net, other, lens, first, 39)[: lens[0] - 2], whole[: lens[0] - 2], atol=1e-4)
-
-
-def test_model_learns(spark):
+def test_each_word_is_scored_once():
+    net, w, _, _ = _tiny()
+    idx, there, scored = lm.windows(w.lens, net.window, net.stride)
+    assert sorted(idx[scored].tolist()) == list(range(w.lens.sum())) and not (scored & ~there).any()
+
+
+def test_lm_gradients_equal_differences():
+    net, w, _, _ = _tiny(steps=0)
+    rng = np.random.default_rng(1)
+    net.params.update({k: (v + rng.normal(0, 0.1, v.shape)).astype(float) for k, v in net.params.items()})
+    idx, there, _ = lm.windows(w.lens, net.window, net.window)
+    _, g = lm.gradients(net, w, idx[:6], there[:6])
+    rows, grad = g["E"]
+    g["E"] = np.zeros_like(net.params["E"])
+    g["E"][rows] = grad
+    for k, v in net.params.items():
+        for at in rng.integers(0, v.size, 5):
+            loss = []
+            for step in (1e-5, -1e-5):
+                v.flat[at] += step
+                loss.append(lm.gradients(net, w, idx[:6], there[:6])[0])
+                v.flat[at] -= step
+            assert np.ravel(g[k])[at] == pytest.approx((loss[0] - loss[1]) / 2e-5, abs=1e-6), (k, at)
+
+
+def test_model_is_better_than_the_base(spark):
     docs = spark.read.parquet(f"{SF2}/documents.parquet")
-    model, counts = lm.fit(docs, RANKS, where=crc_mod("doc_id", 7) != 2, steps=250)
-    got = lm.score(docs.where(crc_mod("doc_id", 7) == 2), model, counts).agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
-    assert got.s / got.n > -5.2  # log10 a word; some 1e-5 for each of the invented words
+    held = crc_mod("doc_id", 7) == 2
+    model, counts = lm.fit(docs, RANKS, where=~held, steps=300)
+    rows = lm.score(docs.where(held), model, counts).collect()
+    total = lambda c: sum(r[c] for r in rows)
+    assert total("score") > total("base_score") and sum(r.score > r.base_score for r in rows) > 0.8 * len(rows)
+    assert total("spelled_score") / total("n_tokens") > -4.6  # with words that training never saw spelled out
+
+
+def test_every_training_document_moves_the_weights(spark):
+    """Beyond the sample, too: other text in documents that were not drawn changes the network."""
+    rows = [(i, f"word{i % 7} and some more words of document {i % 13} " * 20) for i in range(60)]
+    fits = []
+    for last in ("plain words at the end", "quite other things stand here " * 30):
+        df = spark.createDataFrame([*rows, (60, last)], "doc_id long, text string").repartition(2)
+        fits.append(lm.fit(df, RANKS, where=F.lit(True), sample_docs=1, steps=3)[0].net.params)
+    assert any(not np.allclose(fits[0][k], fits[1][k]) for k in ("qkv", "u", "w1"))
+
+
+def test_repeated_rows_and_long_texts(spark):
+    long = "some words that repeat " * 60_000
+    df = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, "b a c"), (None, "a b"), (None, "zz"), (2, long)], "doc_id long, text string")
+    model, counts = lm.fit(df, RANKS, where=F.lit(True), steps=3, window=8, stride=6)
+    got = sorted(((r.doc_id or 0, r.n_tokens, r.n_known, round(r.score, 6)) for r in lm.score(df.repartition(3), model, counts).collect()))
+    alone = sorted(((r.doc_id or 0, r.n_tokens, r.n_known, round(r.score, 6)) for d in (df.where("doc_id IS NULL"), df.where("doc_id = 1"), df.where("doc_id = 2")) for r in lm.score(d, model, counts).collect()))
+    assert len(got) == 6 and [x[:3] for x in got] == [x[:3] for x in alone]
+    assert all(a[3] == pytest.approx(b[3], rel=1e-5) for a, b in zip(got, alone, strict=True))
 
 
 # --- media --------------------------------------------------------------------------------------------------------
