@@ -11,12 +11,13 @@ Duplicates are known before conversion: digests are grouped with map-side combin
 more than once are joined back (broadcast if few, otherwise by a shuffle whose hot keys Spark splits).
 
 Archives are written through Spark's text source, whose row separator is the blank lines that end a WARC record,
-gzipped, ``records_per_file`` records a file, into the shared folder; so a lost task is written again and only committed
-files are read back.
+gzipped, into the shared folder; so a lost task is written again and only committed files are read back.  A file holds
+``records_per_file`` records of at most 64 KB, 60 of at most 1 MB, or one larger record, and 100 records or 16 MB are
+converted at a time, so memory follows the largest payload, whatever the mixture.
 
 Defined results: null payloads are empty; empty payloads are records like others.  Of records with equal payloads of
 at least ``min_bytes`` bytes the smallest key's is the response (repeated rows of that key all are), the others are revisits;
-smaller ones are all responses.  A null key is never the smallest unless all are null (then all are responses).  A null
+smaller ones are all responses.  A payload is held whole, so it is bounded by a task's memory and by 2 GB.  A null key is never the smallest unless all are null (then all are responses).  A null
 URL is written as ``-``; white space and control characters in URLs are percent-encoded.  Other columns are ignored.
 """
 
@@ -30,11 +31,13 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, checkpoint_dir
+from .common import checkpoint, checkpoint_dir, frugal, groups_by_bytes
 
 FIELDS = {
     1: ("URL", "IP-address", "Archive-date", "Content-type", "Archive-length"),
@@ -191,10 +194,12 @@ def convert(pages: DataFrame, folder: str, *, key: str, url: str, payload: str,
     rows = pages.select(F.col(key).cast("string").alias("name"), F.col(key).alias("key"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload"))
     ready = with_first(rows, min_bytes=min_bytes, broadcast_rows=broadcast_rows).select("name", "url", "payload", F.col("first").cast("string").alias("first"))
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            for i in range(0, rb.num_rows, 100):
-                names, urls, payloads, firsts = (c.to_pylist() for c in rb.slice(i, 100).columns)
+            sizes = np.concatenate([[0], np.cumsum(pc.binary_length(rb.column(2)).to_numpy(zero_copy_only=False))])
+            for i, n in ((k, min(100, b - k)) for a, b in groups_by_bytes(sizes, 16 << 20) for k in range(a, b, 100)):
+                names, urls, payloads, firsts = (c.to_pylist() for c in rb.slice(i, n).columns)
                 arc, offset, name = [arc_head(version, "part.arc", date)], 0, "part.arc"
                 for n, u, p in zip(names, urls, payloads, strict=True):
                     offset += len(arc[-1])
@@ -203,8 +208,12 @@ def convert(pages: DataFrame, folder: str, *, key: str, url: str, payload: str,
                 next(records)  # the version block
                 yield pa.RecordBatch.from_arrays([pa.array([to_warc(r, f) for r, f in zip(records, firsts, strict=True)], pa.binary())], names=["record"])
 
-    text = ready.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
-    text.write.option("lineSep", SEPARATOR).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(folder)
+    size = F.octet_length("payload")
+    most = rows.agg(F.max(size).alias("most")).first().most or 0
+    for low, high, records in ((-1, 1 << 16, records_per_file), (1 << 16, 1 << 20, 60), (1 << 20, 1 << 31, 1)):
+        if low < most or low < 0:
+            text = ready.where((size > low) & (size <= high)).mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
+            text.write.mode("append").option("lineSep", SEPARATOR).option("compression", "gzip").option("maxRecordsPerFile", records).text(folder)
 
 
 def read_warc(spark, folder: str, *, key_type: str = "bigint") -> DataFrame:  # noqa: ANN001
@@ -212,6 +221,7 @@ def read_warc(spark, folder: str, *, key_type: str = "bigint") -> DataFrame:  #
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").schema("path string, modificationTime timestamp, length long, content binary").load(folder).select("content")
     names = ["key", "payload_bytes", "payload_digest", "record_type", "refers_to"]
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             for content in rb.column(0):

@@ -2,15 +2,16 @@
 
 A row may hold a conversation in one of several layouts, each a set of nested fields.  The fingerprint of a row hashes
 the sorted paths of the fields that are filled in; a mapping is declared for a set of paths and is found by its hash,
-so a new layout is a new entry of ``MAPPINGS`` and no code.  Rows without a known fingerprint have no turns and are
-marked unmapped.
+so a new layout is a new entry of ``MAPPINGS`` and no code.  A row that leaves some of a mapping's fields empty has the
+fingerprint of fewer paths: it is a mapping's own, if there is one, else that of the first mapping (in order) that
+the schema allows and that has these paths.  Rows without a known fingerprint have no turns and are marked unmapped.
 
 The template marks a turn as ``<|turn|>role<|text|>text<|end|>`` plus a line feed, wrapped in ``<s>`` and ``</s>``.  Control strings
 (these and other common ones) inside roles and texts are escaped by a backslash after their first character, one more
 wherever backslashes stand there already, so that unescaping gives back every text exactly.  The loss mask covers the
 texts of assistant turns, as (start, length) in code points of the formatted string.
 
-Defined results: a null text or role is empty; turns are ordered by (turn, role, text), so ties and repeated rows have
+Defined results: a null text or role is empty (so an unanswered prompt keeps an empty answer); turns are ordered by (turn, role, text), so ties and repeated rows have
 one order and stay; rows with a null conversation id are one conversation; other columns are ignored; an empty table
 has no conversations.
 """
@@ -18,6 +19,7 @@ has no conversations.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -122,21 +124,24 @@ def _turns(m: Mapping) -> Column:
 
 
 def canonical(docs: DataFrame, *, keep: tuple[str, ...] = ("conv_id",), mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """keep, turns, mapped: the row's conversation by the mapping of its fingerprint.
-
-    Fields without any value do not count towards a fingerprint, so a list whose texts are all null still needs one
-    non-null text to be known; ``from_rows`` therefore makes null texts empty.
-    """
+    """keep, turns, mapped: the row's conversation by the mapping of its fingerprint."""
     layout = [c for c in docs.columns if c not in keep]
     usable = set(leaf_paths(T.StructType([f for f in docs.schema.fields if f.name in layout])))
-    marked = docs.withColumn("__fp", fingerprint(docs, layout))
+    known = [m for m in mappings if m.paths <= usable]
+    of = {}
+    for m in known:
+        of.setdefault(m.paths, m)
+    for m in known:
+        for n in range(len(m.paths) - 1, 0, -1):
+            for paths in combinations(sorted(m.paths), n):
+                of.setdefault(frozenset(paths), m)
+    cases = {m: [F.xxhash64(F.concat_ws("\n", *[F.lit(p) for p in sorted(paths)])) for paths, x in of.items() if x is m] for m in known}
     turns = None
-    for m in mappings:
-        if m.paths <= usable:
-            known = F.xxhash64(F.concat_ws("\n", *[F.lit(p) for p in sorted(m.paths)]))
-            case = (F.col("__fp") == known, _turns(m).cast(TURNS))
-            turns = F.when(*case) if turns is None else turns.when(*case)
+    for m, prints in cases.items():
+        case = (F.col("__fp").isin(*prints), _turns(m).cast(TURNS))
+        turns = F.when(*case) if turns is None else turns.when(*case)
     got = F.lit(None).cast(TURNS) if turns is None else turns
+    marked = docs.withColumn("__fp", fingerprint(docs, layout))
     return marked.select(*keep, F.coalesce(got, F.array().cast(TURNS)).alias("turns"), got.isNotNull().alias("mapped"))
 
 

@@ -65,6 +65,12 @@ def hash_fraction(key: str, seed: int) -> Column:
     return F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
 
 
+def spread(text: str, key: str, span: int, seed: int) -> Column:
+    """The text, or ``span`` characters of a longer one from a place fixed by the key."""
+    at = F.floor(hash_fraction(key, seed + 1) * F.greatest(F.char_length(text) - span, F.lit(0))).cast("int") + 1
+    return F.substr(F.col(text), at, F.lit(span))
+
+
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column as one array, and the n+1 offsets of its rows (a null row is empty)."""
     if isinstance(col, pa.ChunkedArray):

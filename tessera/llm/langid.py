@@ -10,7 +10,8 @@ labelled documents kept out of training, and a text is rejected if its probabili
 quarter of what all but ``reject_rate`` of those documents reach.  The score is the language's share among languages.
 
 Defined results: null text, or text without a letter, gives ``und`` with score 0 (rejected).  With no labelled row
-at all every text gives ``und``.  Empty tables give empty results; rows are scored one by one, so repeated rows and
+at all every text gives ``und``.  Of languages with equal scores the first in alphabetical order is given.  Texts of any
+length are scored whole, in blocks of bytes.  Empty tables give empty results; rows are scored one by one, so repeated rows and
 null ids pass through; columns other than id, text and label are ignored.
 """
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, frugal, hash_fraction, utf8
+from .common import BLOCK_BYTES, frugal, hash_fraction, spread, utf8
 
 UND = "und"
 _BUCKET_BITS = 16
@@ -174,10 +175,11 @@ def train(samples: list[tuple[str, str]], *, dim: int = 16, epochs: int = 6, spa
     return model
 
 
-def sample_labelled(docs: DataFrame, *, text: str, lang: str, key: str, where: Column, per_lang: int, max_bytes: int, seed: int) -> list[tuple[str, str]]:
+def sample_labelled(docs: DataFrame, *, text: str, lang: str, key: str, where: Column, per_lang: int, span: int, seed: int) -> list[tuple[str, str]]:
     """About ``per_lang`` rows of each language, drawn by a hash of the key in proportion to its count, so that the
-    size is bounded by languages x per_lang whatever the table's size."""
-    rows = docs.where(where & F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.octet_length(text) <= max_bytes)).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("g"))
+    size is bounded by languages x per_lang whatever the table's size.  A drawn text of more than ``span`` characters gives
+    a span of that length, from anywhere in it."""
+    rows = docs.where(where & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), spread(text, key, span, seed).alias("t"), F.col(lang).alias("g"))
     counts = {r.g: r.n for r in rows.groupBy("g").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return []
@@ -223,6 +225,6 @@ def detect(docs: DataFrame, model: LangModel, *, key: str = "doc_id", text: str
     return out.withColumnsRenamed({"__key": key} | {f"__keep{i}": c for i, c in enumerate(keep)})
 
 
-def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", where: Column | None = None, per_lang: int = 1200, max_bytes: int = 1 << 18, seed: int = 7) -> LangModel:
-    """Trains on at most about ``per_lang`` rows a language that satisfy ``where`` and have ``max_bytes`` at most."""
-    return train(sample_labelled(docs, text=text, lang=lang, key=key, where=F.lit(True) if where is None else where, per_lang=per_lang, max_bytes=max_bytes, seed=seed))
+def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", where: Column | None = None, per_lang: int = 1200, span: int = 50_000, seed: int = 7) -> LangModel:
+    """Trains on at most about ``per_lang`` rows a language that satisfy ``where``."""
+    return train(sample_labelled(docs, text=text, lang=lang, key=key, where=F.lit(True) if where is None else where, per_lang=per_lang, span=span, seed=seed))

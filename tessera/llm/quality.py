@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, groups_by_bytes, hash_fraction, utf8
+from .common import BLOCK_BYTES, frugal, groups_by_bytes, hash_fraction, spread, utf8
 
 STRIDE, HALVES, BLOCK = 4, 2, 128  # a filter spans HALVES x STRIDE bytes; activations are first pooled by BLOCK bytes
 CHUNK_BLOCKS, STEP_BLOCKS = 4, 3  # a chunk is 512 bytes and starts 384 after the last
@@ -158,22 +158,23 @@ def train(samples: list[tuple[str, int]], *, e: int = 6, filters: int = 48, epoc
     return net
 
 
-def sample_labelled(docs: DataFrame, labels: DataFrame, *, key: str, text: str, label: str, where: Column, per_class: int, max_bytes: int, seed: int) -> list[tuple[str, int]]:
+def sample_labelled(docs: DataFrame, labels: DataFrame, *, key: str, text: str, label: str, where: Column, per_class: int, span: int, seed: int) -> list[tuple[str, int]]:
     """About ``per_class`` texts of each class, drawn by a hash of the key: the drawn labels are few, whatever the
-    tables' sizes, so they are broadcast to one scan of the documents."""
+    tables' sizes, so they are broadcast to one scan of the documents.  A drawn text of more than ``span`` characters gives a
+    span of that length, from anywhere in it."""
     marks = labels.where(where & F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg((F.avg(F.col(label)) >= 0.5).cast("int").alias("y"))
     counts = {r.y: r.n for r in marks.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return []
     share = F.create_map(*[F.lit(x) for g, n in counts.items() for x in (g, min(1.0, per_class / n))])
     drawn = marks.where(hash_fraction("k", seed) < share[F.col("y")])
-    rows = docs.where(F.col(text).isNotNull() & (F.octet_length(text) <= max_bytes)).select(F.col(key).alias("k"), F.col(text).alias("t"))
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), spread(text, key, span, seed).alias("t"))
     return sorted((r.t, r.y) for r in rows.join(F.broadcast(drawn), "k").select("t", "y").collect())
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", where: Column | None = None, per_class: int = 1000, max_bytes: int = 1 << 17, seed: int = 11) -> QualityNet:
-    """Trains on at most about ``per_class`` rows a class that satisfy ``where`` and have ``max_bytes`` at most."""
-    return train(sample_labelled(docs, labels, key=key, text=text, label=label, where=F.lit(True) if where is None else where, per_class=per_class, max_bytes=max_bytes, seed=seed))
+def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", where: Column | None = None, per_class: int = 1000, span: int = 50_000, seed: int = 11) -> QualityNet:
+    """Trains on at most about ``per_class`` rows a class that satisfy ``where``."""
+    return train(sample_labelled(docs, labels, key=key, text=text, label=label, where=F.lit(True) if where is None else where, per_class=per_class, span=span, seed=seed))
 
 
 def score(docs: DataFrame, net: QualityNet, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -181,6 +182,7 @@ def score(docs: DataFrame, net: QualityNet, *, key: str = "doc_id", text: str =
     shared = docs.sparkSession.sparkContext.broadcast(net)
     plain = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             p = 1 / (1 + np.exp(-np.clip(logits(shared.value, *utf8(rb.column(1))), -30, 30))) if rb.num_rows else np.zeros(0)

@@ -49,10 +49,12 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tables hold no images: each embedding is drawn as one."""
+    """The tables hold no images: each embedding is drawn as one.  So that there is something to find, each vec_id divisible by 20
+    has a further row, -1 - vec_id, with an edited copy of its image (``media.edited``); its class is to be that key."""
     small_batches(spark)
     rows = read(spark, sf_dir, "embeddings").select("vec_id", media.rendered(F.col("embedding")).alias("image"))
-    return media.copies(rows, key="vec_id")
+    copied = rows.where("vec_id % 20 = 0").select((-1 - F.col("vec_id")).alias("vec_id"), media.edited(F.col("image"), F.floor(F.col("vec_id") / 20)).alias("image"))
+    return media.copies(rows.unionByName(copied), key="vec_id")
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

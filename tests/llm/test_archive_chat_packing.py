@@ -102,13 +102,13 @@ def test_layouts_are_told_apart_by_their_fields(spark):
     lines = [
         {"id": 1, "prompt": "p", "completion": "c"}, {"id": 2, "instruction": "i", "output": "o"}, {"id": 3, "instruction": "i", "input": "x", "output": "o"},
         {"id": 4, "messages": [{"role": "user", "content": "u"}, {"role": "assistant", "content": "a"}]},
-        {"id": 5, "conversations": [{"from": "human", "value": "h"}, {"from": "gpt", "value": "g"}]}, {"id": 6, "instruction": "alone"},
+        {"id": 5, "conversations": [{"from": "human", "value": "h"}, {"from": "gpt", "value": "g"}]}, {"id": 6, "instruction": "alone"}, {"id": 7, "note": "alone"},
     ]
     df = spark.read.json(spark.sparkContext.parallelize([json.dumps(x) for x in lines]))
     got = {r.id: ([tuple(t) for t in r.turns], r.mapped) for r in chat.canonical(df, keep=("id",)).collect()}
     assert got == {
         1: ([("user", "p"), ("assistant", "c")], True), 2: ([("user", "i"), ("assistant", "o")], True), 3: ([("user", "i"), ("user", "x"), ("assistant", "o")], True),
-        4: ([("user", "u"), ("assistant", "a")], True), 5: ([("user", "h"), ("assistant", "g")], True), 6: ([], False),
+        4: ([("user", "u"), ("assistant", "a")], True), 5: ([("user", "h"), ("assistant", "g")], True), 6: ([("user", "alone"), ("assistant", "")], True), 7: ([], False),
     }
 
 
@@ -181,3 +181,19 @@ def test_formatted_conversations_read_back_after_a_write(spark, tmp_path):
     out.write.parquet(str(tmp_path / "f"))
     back = spark.read.parquet(str(tmp_path / "f")).select("conv_id", F.explode(chat.parsed(F.col("formatted"))).alias("t")).select("conv_id", "t.role", "t.text")
     assert back.exceptAll(df.select("conv_id", "role", "text")).count() == 0 and back.count() == df.count()
+
+
+def test_unanswered_turns_stay(spark):
+    rows = [(1, "q", None, None, None), (2, None, "a", None, None), (3, "q", "a", None, None), (4, None, None, None, [("user", None)]), (5, None, None, "s", None), (6, "q", None, "s", None), (7, None, None, None, None)]
+    df = spark.createDataFrame(rows, "id long, prompt string, response string, system string, messages array<struct<role:string,content:string>>")
+    got = {r.id: ([tuple(t) for t in r.turns], r.mapped) for r in chat.canonical(df, keep=("id",)).collect()}
+    assert got == {
+        1: ([("user", "q"), ("assistant", "")], True), 2: ([("user", ""), ("assistant", "a")], True), 3: ([("user", "q"), ("assistant", "a")], True), 4: ([("user", "")], True),
+        5: ([("system", "s"), ("user", ""), ("assistant", "")], True), 6: ([("system", "s"), ("user", "q"), ("assistant", "")], True), 7: ([], False),
+    }
+
+
+def test_archives_of_payloads_of_all_sizes(spark):
+    pages = spark.createDataFrame([(i, "u", "x" * n) for i, n in enumerate([0, 5, 1 << 16, (1 << 16) + 1, 1 << 20, (1 << 20) + 1, 3_000_000, 3_000_000])], "page_id long, url string, html string")
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in arc.archive_and_read(pages).collect()}
+    assert got == {i: (n, "revisit" if i == 7 else "response", 6 if i == 7 else None) for i, n in enumerate([0, 5, 1 << 16, (1 << 16) + 1, 1 << 20, (1 << 20) + 1, 3_000_000, 3_000_000])}

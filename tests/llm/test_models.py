@@ -88,7 +88,7 @@ def test_quality_edge_cases(spark):
     net = quality.fit(df, spark.createDataFrame([], "doc_id long, quality int"))
     assert [r.score for r in quality.score(df, net).collect()] == [0.5] * 6
     labels = spark.createDataFrame([(3, 1), (4, 0), (4, 0), (4, 1), (None, 1)], "doc_id long, quality int")
-    got = quality.score(df, quality.fit(df, labels, max_bytes=1 << 20)).collect()
+    got = quality.score(df, quality.fit(df, labels)).collect()
     assert got[0].score == got[1].score and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
     assert quality.score(df.limit(0), net).count() == 0
 
@@ -284,6 +284,16 @@ def test_links_equal_brute_force_on_a_fixture(spark):
     assert np.mean([got[i] == label[i] for i in range(len(pics))]) >= 0.9
 
 
+def test_recall_and_precision_of_the_registered_query(spark):
+    """Every row whose id is divisible by 20 has an edited copy among all rows."""
+    got = {r.vec_id: r.component_id for r in QUERIES["op5_media"](spark, SF2).collect()}
+    asked = [k for k in got if k >= 0 and k % 20 == 0]
+    found = [k for k in asked if got[k] == got[-1 - k] == -1 - k]
+    others = [k for k in got if k >= 0 and k % 20 and got[k] != k]
+    print(len(found), len(asked), len(others))
+    assert len(found) >= 0.9 * len(asked) and len(others) <= 0.02 * len(got)
+
+
 @pytest.mark.parametrize("alone", [1, 7])
 def test_copies_behind_unrelated_leaders_of_a_bucket(spark, monkeypatch, alone):
     """One bucket for all images: unrelated ones lead the rounds, two copies come last; then six groups of copies."""
