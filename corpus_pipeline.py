@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm import decontam, langid, packing, secrets, simhash
 from tessera.llm.common import checkpoint_dir, read, small_batches
 from tessera.llm.queries import tokenizer_path
+from tessera.sources import files
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,11 +55,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; each stage's result is written as Parquet and read again."""
+    """Applies the stages to documents; each stage's result is written as Parquet and read again, and removed when the next one
+    is written."""
     folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = read(spark, sf_dir, "documents")
+    last = None
     for i, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{i}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last is not None:
+            files.delete(spark, last)
+        last = path
     return docs

@@ -11,6 +11,7 @@ import enum
 import json
 import math
 from collections.abc import Iterator
+from copy import copy
 from dataclasses import asdict, dataclass, fields
 from typing import Any, ClassVar
 
@@ -134,7 +135,6 @@ class IForestParams(Params):
     seed: int = 24
     contamination: float = 0.05
     relative_error: float = 0.001
-    most_samples: int = 4096  # rows a tree is grown from, at most
 
 
 @dataclass(frozen=True)
@@ -158,7 +158,6 @@ class AutoEncoderParams(Params):
     relative_error: float = 0.001
     deviation: float = 1.5
     seed: int = 1
-    most_samples: int = 20_000  # rows the network is trained on, at most
 
 
 PARAMS: dict[str, type[Params]] = {c.model: c for c in Params.__subclasses__()}
@@ -172,9 +171,24 @@ class Solver:
     def __init__(self, columns: tuple[str, ...], params: Any, index_col: str) -> None:
         self.columns, self.p, self.index_col = columns, params, index_col
 
+    learned: Any = None
+
+    def learn(self, df: DataFrame) -> Any:
+        """What ``judge`` needs to know of the rows it was trained on."""
+        raise IllegalParameterError(f"{self.p.model} judges only the rows it is given")
+
+    def judge(self, df: DataFrame, learned: Any) -> DataFrame:
+        raise NotImplementedError
+
+    def fit(self, df: DataFrame) -> Solver:
+        """A solver that judges any rows by what it learned from these."""
+        out = copy(self)
+        out.learned = self.learn(df)
+        return out
+
     def predict(self, df: DataFrame) -> DataFrame:
         """df with FLAG: true, false, or null where the row cannot be judged."""
-        raise NotImplementedError
+        return self.judge(df, self.learn(df) if self.learned is None else self.learned)
 
     def judged(self) -> Column:
         """What the ratio divides by."""
@@ -208,10 +222,13 @@ class _Bounds(Solver):
     def x(self) -> Column:
         return F.col(self.columns[0]).cast("double")
 
-    def predict(self, df):
+    def learn(self, df):
         if len(self.columns) != 1:
             raise IllegalParameterError(f"{self.p.model} takes one column")
-        low, high = self.bounds(df)
+        return self.bounds(df)
+
+    def judge(self, df, learned):
+        low, high = learned
         flag = F.lit(None).cast("boolean") if low is None else (self.x < low) | (self.x > high)
         return df.withColumn(FLAG, flag)
 
@@ -268,27 +285,66 @@ class _Vector(Solver):
             some_null = some_null | F.col(c).isNull()
         return flagged.select(*df.columns, FLAG).unionByName(df.where(some_null).withColumn(FLAG, F.lit(None).cast("boolean")))
 
-    def above(self, scored: DataFrame, score: str, *, method: str = "quantile") -> DataFrame:
+    def threshold(self, scored: DataFrame, score: str, *, method: str = "quantile") -> float | None:
         if method == "quantile":
-            t = scored.agg(F.percentile_approx(score, 1 - self.p.contamination, accuracy(self.p.relative_error)).alias("t")).first().t
-        elif method == "stddev":
-            r = scored.agg(F.avg(score).alias("m"), F.stddev_pop(score).alias("s")).first()
-            t = None if r.m is None else r.m + self.p.deviation * r.s
-        else:
+            return scored.agg(F.percentile_approx(score, 1 - self.p.contamination, accuracy(self.p.relative_error)).alias("t")).first().t
+        if method != "stddev":
             raise IllegalParameterError(f"unknown method {method!r}")
-        return scored.withColumn(FLAG, F.col(score) > F.lit(t))
+        r = scored.agg(F.avg(score).alias("m"), F.stddev_pop(score).alias("s")).first()
+        return None if r.m is None else r.m + self.p.deviation * r.s
+
+
+class _Scored(_Vector):
+    """Models that score rows and flag those above a threshold over the rows they were trained on."""
+
+    method = "quantile"
+
+    def model(self, df: DataFrame) -> Any:
+        raise NotImplementedError
+
+    def scored(self, df: DataFrame, model: Any) -> DataFrame:
+        """df with __score, null where a row cannot be scored."""
+        raise NotImplementedError
+
+    def learn(self, df):
+        model = self.model(df)
+        return model, None if model is None else self.threshold(self.scored(df, model), "__score", method=getattr(self.p, "method", "quantile"))
+
+    def judge(self, df, learned):
+        model, limit = learned
+        if model is None:
+            return df.withColumn(FLAG, F.lit(None).cast("boolean"))
+        return self.scored(df, model).withColumn(FLAG, F.col("__score") > F.lit(limit)).select(*df.columns, FLAG)
 
 
 class _Clusters(_Vector):
-    def clustered(self, df: DataFrame) -> DataFrame:
-        """df with __cluster and __distance."""
+    def model(self, rows: DataFrame) -> tuple[Any, np.ndarray, np.ndarray | None]:
+        """The fitted model, and the centres and inverse covariances of its clusters."""
         raise NotImplementedError
 
-    def predict(self, df):
-        rows = checkpoint(self.clustered(df))
-        per = rows.groupBy("__cluster").agg(F.count(F.lit(1)).alias("__size"), (F.avg("__distance") + self.p.deviation * F.stddev_pop("__distance")).alias("__most"))  # k rows
-        least = self.p.min_cluster * rows.count() if 0 <= self.p.min_cluster < 1 else self.p.min_cluster
-        flagged = rows.join(F.broadcast(per), "__cluster").withColumn(FLAG, (F.col("__size") < least) | (F.col("__distance") > F.col("__most")))
+    def prepared(self, df: DataFrame) -> DataFrame:
+        return self.features(df)
+
+    def placed(self, rows: DataFrame, model: tuple[Any, np.ndarray, np.ndarray | None]) -> DataFrame:
+        """Rows with __cluster and __distance."""
+        found, centres, inverse = model
+        distance = _quadratic(vector_to_array(found.getFeaturesCol()), _constant(centres), None if inverse is None else _constant(inverse), F.col("__cluster"))
+        return found.transform(rows).withColumn("__distance", distance)
+
+    def learn(self, df):
+        rows = self.prepared(df)
+        model = self.model(rows)
+        per = self.placed(rows, model).groupBy("__cluster").agg(F.count(F.lit(1)).alias("size"), (F.avg("__distance") + self.p.deviation * F.stddev_pop("__distance")).alias("most")).collect()  # k rows
+        least = self.p.min_cluster * sum(r["size"] for r in per) if 0 <= self.p.min_cluster < 1 else self.p.min_cluster
+        most = np.full(len(model[1]), -1.0)  # every row of a small cluster is beyond it
+        for r in per:
+            if r["size"] >= least:
+                most[r["__cluster"]] = r["most"]
+        return model, most
+
+    def judge(self, df, learned):
+        model, most = learned
+        flagged = self.placed(self.prepared(df), model).withColumn(FLAG, F.col("__distance") > F.get(_constant(most), F.col("__cluster")))
         return self.completed(df, flagged)
 
 
@@ -306,22 +362,20 @@ def _quadratic(x: Column, centres: Column, inverse: Column | None, k: Column) ->
 
 
 class KMeansSolver(_Clusters):
-    def clustered(self, df):
-        rows, name = self.features(df), "__features"
-        if self.p.normalize:
-            rows, name = Normalizer(p=1.0, inputCol=name, outputCol="__normal").transform(rows), "__normal"
-        model = KMeans(k=self.p.k, maxIter=self.p.max_iter, seed=self.p.seed, featuresCol=name, predictionCol="__cluster").fit(rows)
-        centres = _constant(np.array(model.clusterCenters()))
-        return model.transform(rows).withColumn("__distance", _quadratic(vector_to_array(name), centres, None, F.col("__cluster"))).drop("__features", "__normal")
+    def prepared(self, df):
+        rows = self.features(df)
+        return Normalizer(p=1.0, inputCol="__features", outputCol="__normal").transform(rows) if self.p.normalize else rows
+
+    def model(self, rows):
+        found = KMeans(k=self.p.k, maxIter=self.p.max_iter, seed=self.p.seed, featuresCol="__normal" if self.p.normalize else "__features", predictionCol="__cluster").fit(rows)
+        return found, np.array(found.clusterCenters()), None
 
 
 class GMMSolver(_Clusters):
-    def clustered(self, df):
-        rows = self.features(df)
-        model = GaussianMixture(k=self.p.k, maxIter=self.p.max_iter, tol=self.p.tol, seed=self.p.seed, featuresCol="__features", predictionCol="__cluster", probabilityCol="__p").fit(rows)
-        g = model.gaussiansDF.collect()  # k rows
-        centres, inverse = np.array([r["mean"].toArray() for r in g]), np.array([np.linalg.pinv(r["cov"].toArray()) for r in g])
-        return model.transform(rows).withColumn("__distance", _quadratic(vector_to_array("__features"), _constant(centres), _constant(inverse), F.col("__cluster"))).drop("__features", "__p")
+    def model(self, rows):
+        found = GaussianMixture(k=self.p.k, maxIter=self.p.max_iter, tol=self.p.tol, seed=self.p.seed, featuresCol="__features", predictionCol="__cluster", probabilityCol="__p").fit(rows)
+        g = found.gaussiansDF.collect()  # k rows
+        return found, np.array([r["mean"].toArray() for r in g]), np.array([np.linalg.pinv(r["cov"].toArray()) for r in g])
 
 
 class DBSCANSolver(_Vector):
@@ -417,7 +471,7 @@ class LOFSolver(_Vector):
         for i, c in enumerate(self.columns):
             on = on & (F.col(c).cast("double") == F.col(f"x{i}"))
         scored = checkpoint(df.join(self.scores(df), on, "left").select(*df.columns, "__lof"))
-        return self.above(scored, "__lof").select(*df.columns, FLAG)
+        return scored.withColumn(FLAG, F.col("__lof") > F.lit(self.threshold(scored, "__lof"))).select(*df.columns, FLAG)
 
 
 def path_constant(n: float) -> float:
@@ -425,25 +479,78 @@ def path_constant(n: float) -> float:
     return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
 
 
-def grow_tree(x: np.ndarray, max_depth: int, rng: np.random.Generator) -> list[tuple[int, float, int, int, int]]:
-    """Nodes (feature or -1, value, left, right, rows), the root first."""
-    limit = min(max_depth, math.ceil(math.log2(max(len(x), 2))))
-    nodes: list[tuple[int, float, int, int, int]] = []
+def grow_forest(rows: DataFrame, dim: int, p: IForestParams) -> tuple[list[list[list[float]]], int]:
+    """Trees, as lists of nodes (feature or -1, value, left, right, rows), the root first; and the rows of the largest.
+
+    rows: x0, x1, .. and h, a hash that draws a tree's rows.  All trees grow together, one level in a pass over the rows:
+    a task finds the node of each of its rows in each tree and gives the least and largest values of each open node, so
+    what is shuffled and what the driver gets is bounded by trees x 2^depth, and every row counts, however many there are.
+    """
+    xs, spark = [f"x{i}" for i in range(dim)], rows.sparkSession
+    n = rows.count()
+    rate = min(1.0, p.max_samples if p.max_samples <= 1 else p.max_samples / max(n, 1))
+    take = max(1, round(p.max_features * dim))
+    usable = [set(np.random.default_rng([p.seed, t]).choice(dim, take, replace=False).tolist()) for t in range(p.num_trees)]
+    trees: list[list[list[float]]] = [[[-1, 0.0, -1, -1, 0]] for _ in range(p.num_trees)]
+    opened = [[0] for _ in range(p.num_trees)]
+    limit = min(p.max_depth, math.ceil(math.log2(max(n * rate, 2))))
+    poisson = np.cumsum([math.exp(-rate) * rate**k / math.factorial(k) for k in range(12)])
+    schema = "tree int, node int, n long, " + ", ".join(f"lo{i} double, hi{i} double" for i in range(dim))
+    for depth in range(limit + 1):
+        shared = spark.sparkContext.broadcast(([np.array(t) for t in trees], opened))
+
+        def level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            grown, wanted = shared.value  # noqa: B023
+            best: dict[tuple[int, int], list[float]] = {}
+            for pdf in batches:
+                x, h = pdf[xs].to_numpy(), pdf["h"].to_numpy()
+                for t, nodes in enumerate(grown):
+                    if not wanted[t]:
+                        continue
+                    mixed = (h.view(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15 * (t + 1) % (1 << 64))) * np.uint64(0xD6E8FEB86659FD93)
+                    draw = ((mixed ^ (mixed >> np.uint64(32))) & np.uint64((1 << 30) - 1)).astype(float) / (1 << 30)
+                    times = np.searchsorted(poisson, draw, side="right") if p.bootstrap else np.ones(len(x), int)  # with replacement: some rows none, some more
+                    mine = (times > 0) if p.bootstrap else draw < rate
+                    if not mine.any():
+                        continue
+                    part = x[mine]
+                    at = leaves(nodes, part)
+                    for node in np.intersect1d(at, wanted[t]).tolist():
+                        here = part[at == node]
+                        got = [float(times[mine][at == node].sum()), *np.stack([here.min(0), here.max(0)], axis=1).ravel().tolist()]
+                        old = best.get((t, node))
+                        if old is not None:
+                            got = [old[0] + got[0], *(f(a, b) for f, a, b in zip([min, max] * dim, old[1:], got[1:], strict=True))]
+                        best[(t, node)] = got
+            if best:
+                yield pd.DataFrame([[*k, int(v[0]), *v[1:]] for k, v in best.items()], columns=["tree", "node", "n", *[f"{e}{i}" for i in range(dim) for e in ("lo", "hi")]])
+
+        ends = [f(f"{e}{i}").alias(f"{e}{i}") for i in range(dim) for e, f in (("lo", F.min), ("hi", F.max))]
+        found = {(r.tree, r.node): r for r in rows.mapInPandas(level, schema).groupBy("tree", "node").agg(F.sum("n").alias("n"), *ends).collect()}
+        nxt: list[list[int]] = [[] for _ in trees]
+        for (t, node), r in sorted(found.items()):
+            trees[t][node][4] = r.n
+            spread = [i for i in sorted(usable[t]) if r[f"hi{i}"] > r[f"lo{i}"]]
+            if depth < limit and r.n > 1 and spread:
+                rng = np.random.default_rng([p.seed, t, node + 1])
+                f = int(rng.choice(spread))
+                trees[t][node][:4] = [f, float(rng.uniform(r[f"lo{f}"], r[f"hi{f}"])), len(trees[t]), len(trees[t]) + 1]
+                nxt[t] += [len(trees[t]), len(trees[t]) + 1]
+                trees[t] += [[-1, 0.0, -1, -1, 0], [-1, 0.0, -1, -1, 0]]
+        opened = nxt
+        if not any(opened):
+            break
+    return trees, max((int(t[0][4]) for t in trees), default=0)
 
-    def grow(rows: np.ndarray, depth: int) -> int:
-        at = len(nodes)
-        nodes.append((-1, 0.0, -1, -1, len(rows)))
-        low, high = (rows.min(0), rows.max(0)) if len(rows) else (np.zeros(0), np.zeros(0))
-        usable = np.flatnonzero(high > low)
-        if depth < limit and len(rows) > 1 and len(usable):
-            f = int(rng.choice(usable))
-            v = float(rng.uniform(low[f], high[f]))
-            left = rows[:, f] < v
-            nodes[at] = (f, v, grow(rows[left], depth + 1), grow(rows[~left], depth + 1), len(rows))
-        return at
 
-    grow(x, 0)
-    return nodes
+def leaves(nodes: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The leaf that each row falls into."""
+    f, left, right = nodes[:, 0].astype(int), nodes[:, 2].astype(int), nodes[:, 3].astype(int)
+    at = np.zeros(len(x), int)
+    while len(inner := np.flatnonzero(f[at] >= 0)):
+        node = at[inner]
+        at[inner] = np.where(x[inner, f[node]] < nodes[node, 1], left[node], right[node])
+    return at
 
 
 def path_lengths(nodes: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -459,84 +566,92 @@ def path_lengths(nodes: np.ndarray, x: np.ndarray) -> np.ndarray:
     return depth + np.array([path_constant(n) for n in nodes[:, 4]])[at]
 
 
-class IForestSolver(_Vector):
-    """Trees grow in parallel, one group of sampled rows each; the forest (at most trees x 2^depth nodes) is broadcast."""
+class IForestSolver(_Scored):
+    """The forest (at most trees x 2^depth nodes) is broadcast to the rows it scores."""
 
-    def predict(self, df):
-        p, dim = self.p, len(self.columns)
-        xs = [f"x{i}" for i in range(dim)]
+    def model(self, df):
+        xs = [f"x{i}" for i in range(len(self.columns))]
         some = df.select(*[F.col(c).cast("double").alias(x) for c, x in zip(self.columns, xs, strict=True)]).dropna()
-        n = some.count()
-        psi = min(p.most_samples, n, max(1, int(round(p.max_samples * n)) if p.max_samples <= 1 else int(p.max_samples)))
-        rate = psi / max(n, 1)
-        seed, depth, take = p.seed, p.max_depth, max(1, round(p.max_features * dim))
-        drawn = some.withColumn("h", F.xxhash64(*xs, F.monotonically_increasing_id())).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(p.num_trees - 1)))).where(F.pmod(F.xxhash64("h", "tree", F.lit(seed)), F.lit(1 << 30)) < rate * (1 << 30)).drop("h")
-
-        def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-            tree = int(pdf["tree"].iloc[0])
-            rng = np.random.default_rng([seed, tree])
-            x = pdf[xs].to_numpy()
-            x = x[np.lexsort(x.T)]
-            if p.bootstrap:
-                x = x[rng.integers(0, len(x), len(x))]
-            cols = np.sort(rng.choice(dim, take, replace=False))
-            nodes = [(int(cols[f]) if f >= 0 else -1, v, a, b, m) for f, v, a, b, m in grow_tree(x[:, cols], depth, rng)]
-            return pd.DataFrame({"tree": [tree], "rows": [len(x)], "nodes": [[float(v) for node in nodes for v in node]]})
-
-        forest = drawn.groupBy("tree").applyInPandas(grow, "tree long, rows long, nodes array<double>").collect()
-        trees = [np.array(r.nodes).reshape(-1, 5) for r in sorted(forest, key=lambda r: r.tree)]
-        norm = path_constant(max((r.rows for r in forest), default=2))
-        shared = df.sparkSession.sparkContext.broadcast(trees)
+        rows = checkpoint(some.withColumn("h", F.xxhash64(*xs, F.monotonically_increasing_id(), F.lit(self.p.seed))))
+        trees, n = grow_forest(rows, len(xs), self.p)
+        return [np.array(t) for t in trees], path_constant(max(n, 2))
+
+    def scored(self, df, model):
+        shared = df.sparkSession.sparkContext.broadcast(model)
 
         @F.pandas_udf("double")
         def anomaly(*cols: pd.Series) -> pd.Series:
+            trees, norm = shared.value
             x = np.column_stack([c.to_numpy(dtype=float) for c in cols])
             ok = ~np.isnan(x).any(1)
             out = np.full(len(x), np.nan)
-            if ok.any() and shared.value:
-                out[ok] = 2.0 ** (-np.mean([path_lengths(t, x[ok]) for t in shared.value], axis=0) / max(norm, 1e-12))
+            if ok.any():
+                out[ok] = 2.0 ** (-np.mean([path_lengths(t, x[ok]) for t in trees], axis=0) / norm)
             return pd.Series(out)
 
-        score = anomaly(*[F.col(c).cast("double") for c in self.columns])
-        scored = checkpoint(df.withColumn("__score", F.nullif(score, F.lit(float("nan")))))
-        return self.above(scored, "__score").select(*df.columns, FLAG)
+        return df.withColumn("__score", F.nullif(anomaly(*[F.col(c).cast("double") for c in self.columns]), F.lit(float("nan"))))
 
 
-class PCASolver(_Vector):
-    def predict(self, df):
+class PCASolver(_Scored):
+    def model(self, df):
         rows = self.features(df)
+        if rows.isEmpty():
+            return None
         k = min(self.p.k, len(self.columns))
-        scaled = StandardScaler(withMean=True, withStd=True, inputCol="__features", outputCol="__scaled").fit(rows).transform(rows)
-        reduced = checkpoint(PCA(k=k, inputCol="__scaled", outputCol="__pca").fit(scaled).transform(scaled).drop("__features", "__scaled"))
-        if not reduced.limit(1).count():
-            return df.withColumn(FLAG, F.lit(None).cast("boolean"))
-        corr = np.nan_to_num(Correlation.corr(reduced, "__pca").first()[0].toArray(), nan=0.0)
+        scaler = StandardScaler(withMean=True, withStd=True, inputCol="__features", outputCol="__scaled").fit(rows)
+        pca = PCA(k=k, inputCol="__scaled", outputCol="__pca").fit(scaler.transform(rows))
+        corr = np.nan_to_num(Correlation.corr(pca.transform(scaler.transform(rows)), "__pca").first()[0].toArray(), nan=0.0)
         np.fill_diagonal(corr, 1.0)
-        distance = _quadratic(vector_to_array("__pca"), _constant(np.zeros((1, k))), _constant(np.linalg.pinv(corr)[None]), F.lit(0))
-        return self.completed(df, self.above(reduced.withColumn("__distance", distance).drop("__pca"), "__distance", method=self.p.method))
+        return scaler, pca, np.linalg.pinv(corr)
 
+    def scored(self, df, model):
+        scaler, pca, inverse = model
+        distance = _quadratic(vector_to_array("__pca"), _constant(np.zeros((1, len(inverse)))), _constant(inverse[None]), F.lit(0))
+        some = pca.transform(scaler.transform(self.features(df))).withColumn("__score", distance).select(*df.columns, "__score")
+        empty = F.lit(False)
+        for c in self.columns:
+            empty = empty | F.col(c).isNull()
+        return some.unionByName(df.where(empty).withColumn("__score", F.lit(None).cast("double")))
 
-class AutoEncoderSolver(_Vector):
-    """Input, ReLU layer, sigmoid layer; mean squared error by Adam on a bounded hash-drawn sample of scaled rows."""
 
-    def predict(self, df):
+class AutoEncoderSolver(_Scored):
+    """Input, ReLU layer, sigmoid layer; mean squared error by Adam.  Every task trains on all its scaled rows; the tasks'
+    weights, which start alike, are averaged by their rows."""
+
+    def model(self, df):
         p, dim = self.p, len(self.columns)
         cols = [F.col(c).cast("double") for c in self.columns]
         r = df.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{g}{i}") for i, c in enumerate(cols) for g, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
         if not r.n or any(r[f"m{i}"] is None for i in range(dim)):
-            return df.withColumn(FLAG, F.lit(None).cast("boolean"))
+            return None
         mean, sd = np.array([r[f"m{i}"] for i in range(dim)]), np.array([r[f"s{i}"] or 1.0 for i in range(dim)])
-        rate = min(1.0, p.most_samples / r.n)
-        sample = df.select(*[c.alias(f"x{i}") for i, c in enumerate(cols)]).dropna().where(F.pmod(F.xxhash64(*[f"x{i}" for i in range(dim)], F.monotonically_increasing_id()), F.lit(1 << 30)) < rate * (1 << 30)).toPandas().to_numpy()
-        net = train_autoencoder(_squash(sample, mean, sd), p.hidden_size, p.batch_size, p.num_epochs, p.seed)
+
+        def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            x = [pdf.to_numpy(dtype=float) for pdf in batches]
+            if sum(map(len, x)):
+                net = train_autoencoder(_squash(np.concatenate(x), mean, sd), p.hidden_size, p.batch_size, p.num_epochs, p.seed)
+                flat = np.concatenate([a.ravel() for a in net])
+                yield pd.DataFrame({"i": np.arange(len(flat)), "n": sum(map(len, x)), "v": flat})
+
+        rows = df.select(*[c.alias(f"x{i}") for i, c in enumerate(cols)]).dropna()
+        got = rows.mapInPandas(train, "i int, n long, v double").groupBy("i").agg((F.sum(F.col("n") * F.col("v")) / F.sum("n")).alias("v")).orderBy("i").collect()  # one set of weights
+        if not got:
+            return None
+        net, at, flat = new_autoencoder(dim, p.hidden_size, p.seed), 0, np.array([g.v for g in got])
+        for a in net:
+            a[...] = flat[at : at + a.size].reshape(a.shape)
+            at += a.size
+        return net, mean, sd
+
+    def scored(self, df, model):
+        net, mean, sd = model
 
         @F.pandas_udf("double")
         def error(*xs: pd.Series) -> pd.Series:
             x = _squash(np.column_stack([c.to_numpy(dtype=float) for c in xs]), mean, sd)
             return pd.Series(((reconstruct(net, x)[1] - x) ** 2).mean(1))
 
-        scored = checkpoint(df.withColumn("__error", F.nullif(error(*cols), F.lit(float("nan")))))
-        return self.above(scored, "__error", method=p.method).select(*df.columns, FLAG)
+        return df.withColumn("__score", F.nullif(error(*[F.col(c).cast("double") for c in self.columns]), F.lit(float("nan"))))
 
 
 def _squash(x: np.ndarray, mean: np.ndarray, sd: np.ndarray) -> np.ndarray:
@@ -549,14 +664,19 @@ def reconstruct(net: list[np.ndarray], x: np.ndarray) -> tuple[np.ndarray, np.nd
     return h, 1 / (1 + np.exp(-np.clip(h @ net[2] + net[3], -30, 30)))
 
 
-def train_autoencoder(x: np.ndarray, hidden: int, batch: int, epochs: int, seed: int, rate: float = 0.01) -> list[np.ndarray]:
+def new_autoencoder(d: int, hidden: int, seed: int) -> list[np.ndarray]:
     rng = np.random.default_rng(seed)
-    d = x.shape[1]
-    net = [rng.normal(0, (2 / d) ** 0.5, (d, hidden)), np.zeros(hidden), rng.normal(0, (1 / hidden) ** 0.5, (hidden, d)), np.zeros(d)]
+    return [rng.normal(0, (2 / d) ** 0.5, (d, hidden)), np.zeros(hidden), rng.normal(0, (1 / hidden) ** 0.5, (hidden, d)), np.zeros(d)]
+
+
+def train_autoencoder(x: np.ndarray, hidden: int, batch: int, epochs: int, seed: int, rate: float = 0.01) -> list[np.ndarray]:
+    """Every epoch sees every row once."""
+    net, rng = new_autoencoder(x.shape[1], hidden, seed), np.random.default_rng([seed, 1])
     m1, m2, t = [np.zeros_like(a) for a in net], [np.zeros_like(a) for a in net], 0
     for _ in range(epochs):
-        for i in range(0, len(x), batch) if len(x) else ():
-            b = x[rng.integers(0, len(x), min(batch, len(x)))]
+        order = rng.permutation(len(x))
+        for i in range(0, len(x), batch):
+            b = x[order[i : i + batch]]
             h, y = reconstruct(net, b)
             dy = 2 * (y - b) * y * (1 - y) / b.size
             dh = (dy @ net[2].T) * (h > 0)
@@ -565,8 +685,6 @@ def train_autoencoder(x: np.ndarray, hidden: int, batch: int, epochs: int, seed:
                 u += 0.1 * (g - u)
                 v += 0.001 * (g * g - v)
                 a -= rate * (u / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-            if i // batch > 400:
-                break  # an epoch is 400 batches at most
     return net
 
 

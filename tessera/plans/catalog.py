@@ -411,7 +411,7 @@ def _model(name: str, columns: tuple[str, ...], params: outliers.Params | None =
 _model("kmeans", ("p_size", "p_retailprice"))
 _model("gmm", ("p_size", "p_retailprice"))
 _model("lof", ("p_size", "p_retailprice"))
-_model("iforest", ("p_size", "p_retailprice"), outliers.IForestParams(max_samples=256))
+_model("iforest", ("p_size", "p_retailprice"))
 _model("pca", ("p_size", "p_retailprice"), outliers.PCAParams(k=2))
 _model("autoencoder", ("p_size", "p_retailprice"))
 

@@ -1,7 +1,10 @@
 import math
+import re
+import statistics
+from collections import Counter
 
 import pytest
-from fixtures import PEOPLE, PEOPLE_SCHEMA
+from fixtures import PARTS, PARTS_SCHEMA
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -14,48 +17,75 @@ from tessera.plans.runner import AnalysisRunner, analyze, scan_columns
 
 
 @pytest.fixture(scope="module")
-def people(spark):
-    return spark.createDataFrame(PEOPLE, PEOPLE_SCHEMA).cache()
+def parts(spark):
+    return spark.createDataFrame(PARTS, PARTS_SCHEMA).cache()
 
 
+ID, GRADE, LABEL, STOCK, WIDTH, DELTA, LINK, MAIL = range(8)
+N = len(PARTS)
+
+
+def values(c, where=lambda r: True):
+    return [r[c] for r in PARTS if where(r) and r[c] is not None]
+
+
+def counts(*cs):
+    return Counter(tuple(r[c] for c in cs) for r in PARTS if all(r[c] is not None for c in cs))
+
+
+def entropy(*cs):
+    return -sum(n / N * math.log(n / N) for n in counts(*cs).values())
+
+
+def share(c, pattern):
+    return sum(bool(re.search(pattern, x)) for x in values(c)) / N
+
+
+def once(*cs):
+    return sum(n == 1 for n in counts(*cs).values())
+
+
+_MEDIAN = sorted(values(DELTA))[N // 2 - 1]
+_MAD = sorted(abs(x - _MEDIAN) for x in values(DELTA))[N // 2 - 1]
 GOLDEN = {
-    a.Size(): 7, a.Completeness("name"): 1.0, a.Completeness("homepage"): 5 / 7, a.Completeness(("homepage", "name")): 5 / 7,
-    a.Sum("weight"): 308, a.Mean("weight"): 44.0, a.Minimum("weight"): -100, a.Maximum("weight"): 88, a.StandardDeviation("weight"): 59.70163912561961,
-    a.Mean("height"): 150.71428571428572, a.Correlation("weight", "height"): -0.15269654712999184, a.Compliance("w", "weight > 0"): 6 / 7,
-    a.PatternMatch("homepage", URL): 5 / 7, a.PatternMatch("email", EMAIL): 5 / 7, a.PatternMatch("email", ".com$"): 4 / 7,
-    a.Uniqueness("id"): 5 / 7, a.Distinctness("id"): 6 / 7, a.UniqueRatio("id"): 5 / 6, a.Uniqueness("homepage"): 3 / 7, a.Distinctness("homepage"): 4 / 7, a.UniqueRatio("homepage"): 3 / 4,
-    a.Entropy("weight"): 1.7478680974667573, a.Entropy("gender"): 0.6829081047004716, a.MutualInformation("weight", "height"): 1.7478680974667573, a.MutualInformation("gender", "weight"): 0.6829081047004716,
-    a.MaxLength("name"): 3, a.MinLength("name"): 1, a.Outliers("weight", "k_sigma"): 1 / 7, a.Outliers("weight", "mad"): 2 / 7, a.ApproxCountDistinct("id"): 6, a.Size("weight > 0"): 6, a.Mean("weight", "gender = 'M'"): 67.5,
+    a.Size(): N, a.Completeness("label"): 1.0, a.Completeness("link"): 6 / 8, a.Completeness(("link", "mail")): 5 / 8,
+    a.Sum("delta"): sum(values(DELTA)), a.Mean("delta"): statistics.fmean(values(DELTA)), a.Minimum("delta"): -300, a.Maximum("delta"): 71, a.StandardDeviation("delta"): statistics.pstdev(values(DELTA)),
+    a.Mean("width"): statistics.fmean(values(WIDTH)), a.Correlation("delta", "width"): statistics.correlation(values(DELTA), values(WIDTH)), a.Compliance("w", "delta > 0"): 7 / 8,
+    a.PatternMatch("link", URL): 5 / 8, a.PatternMatch("mail", EMAIL): 5 / 8, a.PatternMatch("mail", "org$"): share(MAIL, "org$"),
+    a.Uniqueness("id"): 6 / 8, a.Distinctness("id"): 7 / 8, a.UniqueRatio("id"): 6 / 7, a.Uniqueness("link"): once(LINK) / N, a.Distinctness("link"): len(counts(LINK)) / N, a.UniqueRatio("link"): once(LINK) / len(counts(LINK)),
+    a.Entropy("delta"): entropy(DELTA), a.Entropy("grade"): entropy(GRADE), a.MutualInformation("delta", "width"): entropy(DELTA) + entropy(WIDTH) - entropy(DELTA, WIDTH), a.MutualInformation("grade", "delta"): entropy(GRADE) + entropy(DELTA) - entropy(GRADE, DELTA),
+    a.MaxLength("label"): 4, a.MinLength("label"): 1, a.Outliers("delta", "k_sigma"): 1 / 8, a.Outliers("delta", "mad"): sum(abs(x - _MEDIAN) > 1.5 * _MAD for x in values(DELTA)) / N, a.ApproxCountDistinct("id"): 7, a.Size("delta > 0"): 7,
+    a.Mean("delta", "grade = 'B'"): statistics.fmean(values(DELTA, lambda r: r[GRADE] == "B")),
 }
 
 
-def test_golden_metrics(people):
-    found = analyze(people, GOLDEN)
+def test_golden_metrics(parts):
+    found = analyze(parts, GOLDEN)
     for x, want in GOLDEN.items():
         assert found.metric(x).is_success, (x, found.metric(x).error)
         assert found.metric(x).value == pytest.approx(want, rel=1e-9), x
 
 
-def test_mode_types_histogram_quantiles(people):
-    q = a.ApproxQuantile("weight", (0.0, 0.5, 1.0), 1e-6)
-    m = analyze(people, [a.Mode("weight"), a.Mode("homepage"), a.DataTypeAnalyzer("name"), a.Histogram("homepage"), q]).metrics
-    assert m[a.Mode("weight")].value == "55" and m[a.Mode("homepage")].value == "ftp://192.168.2"
-    d = m[a.DataTypeAnalyzer("name")].value
-    assert (d["Integral"].absolute, d["String"].absolute) == (2, 5) and a.infer_type(d) == "String"
-    h = m[a.Histogram("homepage")].value
-    assert h.number_of_bins == 5 and h[a.NULL_VALUE].absolute == 2 and h["ftp://192.168.2"].ratio == pytest.approx(2 / 7)
-    assert m[q].value == {"0.0": -100, "0.5": 68, "1.0": 88}
+def test_mode_types_histogram_quantiles(parts):
+    q = a.ApproxQuantile("delta", (0.0, 0.5, 1.0), 1e-6)
+    m = analyze(parts, [a.Mode("delta"), a.Mode("link"), a.DataTypeAnalyzer("label"), a.Histogram("link"), q]).metrics
+    assert m[a.Mode("delta")].value == "40" and m[a.Mode("link")].value == "http://10.0.0.7/parts"
+    d = m[a.DataTypeAnalyzer("label")].value
+    assert (d["Integral"].absolute, d["String"].absolute) == (2, 6) and a.infer_type(d) == "String"
+    h = m[a.Histogram("link")].value
+    assert h.number_of_bins == 6 and h[a.NULL_VALUE].absolute == 2 and h["http://10.0.0.7/parts"].ratio == pytest.approx(2 / 8)
+    assert m[q].value == {"0.0": -300, "0.5": _MEDIAN, "1.0": 71}
 
 
-def test_failures_are_metrics(people, spark):
-    bad = {a.Mean("nope"): NoSuchColumnError, a.Mean("name"): WrongTypeError, a.MaxLength("age"): WrongTypeError}
-    found = analyze(people, [*bad, a.Size(), a.Compliance("x", "no such + syntax")]).metrics
+def test_failures_are_metrics(parts, spark):
+    bad = {a.Mean("nope"): NoSuchColumnError, a.Mean("label"): WrongTypeError, a.MaxLength("stock"): WrongTypeError}
+    found = analyze(parts, [*bad, a.Size(), a.Compliance("x", "no such + syntax")]).metrics
     for x, kind in bad.items():
         assert isinstance(found[x].error, kind)
-    assert found[a.Size()].value == 7 and not found[a.Compliance("x", "no such + syntax")].is_success
-    empty = analyze(people.limit(0), [a.Mean("age"), a.Size(), a.Completeness("age"), a.Uniqueness("id"), a.StandardDeviation("age"), a.Mode("age"), a.Entropy("age")]).metrics
-    assert isinstance(empty[a.Mean("age")].error, EmptyStateError) and empty[a.Size()].value == 0 and empty[a.Completeness("age")].value == 0 and empty[a.Uniqueness("id")].value == 0
-    assert isinstance(empty[a.Mode("age")].error, EmptyStateError) and not empty[a.StandardDeviation("age")].is_success
+    assert found[a.Size()].value == N and not found[a.Compliance("x", "no such + syntax")].is_success
+    empty = analyze(parts.limit(0), [a.Mean("stock"), a.Size(), a.Completeness("stock"), a.Uniqueness("id"), a.StandardDeviation("stock"), a.Mode("stock"), a.Entropy("stock")]).metrics
+    assert isinstance(empty[a.Mean("stock")].error, EmptyStateError) and empty[a.Size()].value == 0 and empty[a.Completeness("stock")].value == 0 and empty[a.Uniqueness("id")].value == 0
+    assert isinstance(empty[a.Mode("stock")].error, EmptyStateError) and not empty[a.StandardDeviation("stock")].is_success
 
 
 def test_runtime_error_of_one_analyzer_spares_the_others(spark):
@@ -64,21 +94,21 @@ def test_runtime_error_of_one_analyzer_spares_the_others(spark):
     assert found[a.Size()].value == 2 and found[a.Completeness("s")].value == 1 and not found[a.Compliance("bad", "CAST(s AS INT) > 0")].is_success
 
 
-def test_quantile_requests_share_an_aggregate_and_scans_one_job(people):
-    scans = [a.ApproxQuantile("age", 0.5), a.ApproxQuantile("age", (0.25, 0.5)), a.Mean("age"), a.ApproxQuantile("height", 0.5)]
+def test_quantile_requests_share_an_aggregate_and_scans_one_job(parts):
+    scans = [a.ApproxQuantile("stock", 0.5), a.ApproxQuantile("stock", (0.25, 0.5)), a.Mean("stock"), a.ApproxQuantile("width", 0.5)]
     assert len(scan_columns(scans)[0]) == 4
-    plan = people.agg(*scan_columns(scans)[0])._jdf.queryExecution().executedPlan().toString()
+    plan = parts.agg(*scan_columns(scans)[0])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
 
 
-def test_analysis_runner_reuses_stored_metrics(people):
+def test_analysis_runner_reuses_stored_metrics(parts):
     from tessera.metrics import Entity, Metric
     from tessera.plans.runner import AnalyzerContext
     from tessera.repository import MemoryMetricsRepository, ResultKey
 
     repo, key = MemoryMetricsRepository(), ResultKey.of(1)
     repo.save(key, AnalyzerContext({a.Size(): Metric("Size", Entity.DATASET, "*", 99.0)}))
-    out = AnalysisRunner.on_data(people).add_analyzers([a.Size(), a.Mean("age")]).use_repository(repo, reuse_key=key, save_key=ResultKey.of(2)).run()
+    out = AnalysisRunner.on_data(parts).add_analyzers([a.Size(), a.Mean("stock")]).use_repository(repo, reuse_key=key, save_key=ResultKey.of(2)).run()
     assert out.metric(a.Size()).value == 99.0 and len(repo.load_by_key(ResultKey.of(2)).metrics) == 2
 
 

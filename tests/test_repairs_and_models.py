@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from fixtures import BODIES, CUSTOMERS, CUSTOMERS_SCHEMA, PEOPLE, PEOPLE_SCHEMA
+from fixtures import DELIVERIES, DELIVERIES_SCHEMA, PARTS, PARTS_SCHEMA, POINTS
 from pyspark.sql import functions as F
 
 from tessera.exceptions import IllegalParameterError, InconsistentDependenciesError, TransformError
@@ -12,13 +12,13 @@ from tessera.sources import io, session
 
 
 @pytest.fixture(scope="module")
-def people(spark):
-    return spark.createDataFrame(PEOPLE, PEOPLE_SCHEMA).cache()
+def parts(spark):
+    return spark.createDataFrame(PARTS, PARTS_SCHEMA).cache()
 
 
 @pytest.fixture(scope="module")
-def customers(spark):
-    return spark.createDataFrame(CUSTOMERS, CUSTOMERS_SCHEMA).cache()
+def deliveries(spark):
+    return spark.createDataFrame(DELIVERIES, DELIVERIES_SCHEMA).cache()
 
 
 def run(df, *cleans):
@@ -30,36 +30,37 @@ def ids(df):
 
 
 FILTERS = [
-    (lambda x: x.drop_null("homepage"), [1, 2, 3, 4, 8]), (lambda x: x.filter_by_exp("weight > 70"), [1, 5]), (lambda x: x.drop_by_exp("weight > 0"), [2]), (lambda x: x.filter_positive("weight"), [1, 3, 4, 5, 5, 8]),
-    (lambda x: x.filter_non_negative("weight"), [1, 3, 4, 5, 5, 8]), (lambda x: x.filter_by_lower_bound("age", 22, False), [3, 4, 8]), (lambda x: x.filter_by_upper_bound("age", 18, True), [5, 5]),
-    (lambda x: x.filter_by_range("age", 18, True, 22, True), [1, 2, 5]), (lambda x: x.drop_by_range("age", 18, True, 22, True), [3, 4, 5, 8]), (lambda x: x.filter_by_values("gender", ["M"]), [1, 3, 5, 8]),
-    (lambda x: x.drop_by_values("name", ["22", "E"]), [2, 3, 4, 5, 8]), (lambda x: x.filter_by_data_type("name", "integral"), [1, 4]), (lambda x: x.drop_by_data_type("name", "numeric"), [2, 3, 5, 5, 8]),
-    (lambda x: x.filter_by_pattern("name", "^C"), [3, 8]), (lambda x: x.drop_by_pattern("name", "2"), [3, 4, 5]), (lambda x: x.filter_by_begin("email", "SWS"), [3, 8]), (lambda x: x.drop_by_begin("email", "SWS"), [1, 2, 4]),
-    (lambda x: x.filter_by_end("email", "cn"), [2]), (lambda x: x.drop_by_end("email", "com"), [2]), (lambda x: x.filter_by_sub_str("email", "gmail"), [3, 8]), (lambda x: x.drop_by_sub_str("email", "gmail"), [1, 2, 4]),
-    (lambda x: x.filter_url("homepage"), [1, 2, 3, 4, 8]), (lambda x: x.filter_email("email"), [1, 2, 3, 4, 8]),
+    (lambda x: x.drop_null("link"), lambda r: r.link is not None), (lambda x: x.filter_by_exp("delta > 50"), lambda r: r.delta > 50), (lambda x: x.drop_by_exp("delta > 0"), lambda r: r.delta <= 0),
+    (lambda x: x.filter_positive("delta"), lambda r: r.delta > 0), (lambda x: x.filter_non_negative("delta"), lambda r: r.delta >= 0), (lambda x: x.filter_by_lower_bound("stock", 27, False), lambda r: r.stock > 27),
+    (lambda x: x.filter_by_upper_bound("stock", 14, True), lambda r: r.stock <= 14), (lambda x: x.filter_by_range("stock", 14, True, 27, True), lambda r: 14 <= r.stock <= 27), (lambda x: x.drop_by_range("stock", 14, True, 27, True), lambda r: not 14 <= r.stock <= 27),
+    (lambda x: x.filter_by_values("grade", ["A"]), lambda r: r.grade == "A"), (lambda x: x.drop_by_values("label", ["407", "Q"]), lambda r: r.label not in ("407", "Q")), (lambda x: x.filter_by_data_type("label", "integral"), lambda r: r.label.isdigit()),
+    (lambda x: x.drop_by_data_type("label", "numeric"), lambda r: not r.label.isdigit()), (lambda x: x.filter_by_pattern("label", "^V"), lambda r: r.label[0] == "V"), (lambda x: x.drop_by_pattern("label", "7"), lambda r: "7" not in r.label),
+    (lambda x: x.filter_by_begin("link", "http"), lambda r: (r.link or "").startswith("http")), (lambda x: x.drop_by_begin("link", "http"), lambda r: r.link is not None and not r.link.startswith("http")), (lambda x: x.filter_by_end("mail", "net"), lambda r: (r.mail or "").endswith("net")),
+    (lambda x: x.drop_by_end("mail", "org"), lambda r: r.mail is not None and not r.mail.endswith("org")), (lambda x: x.filter_by_sub_str("mail", "mill"), lambda r: "mill" in (r.mail or "")), (lambda x: x.drop_by_sub_str("mail", "mill"), lambda r: r.mail is not None and "mill" not in r.mail),
+    (lambda x: x.filter_url("link"), lambda r: r.id in (1, 2, 4, 5) or (r.id == 6 and r.link is not None)), (lambda x: x.filter_email("mail"), lambda r: "@" in (r.mail or "")),
 ]
 
 
 @pytest.mark.parametrize("k", range(len(FILTERS)))
-def test_filters(people, k):
-    make, want = FILTERS[k]
-    assert ids(run(people, make(Clean("f")))) == want
+def test_filters(parts, k):
+    make, keeps = FILTERS[k]
+    assert ids(run(parts, make(Clean("f")))) == sorted(r.id for r in parts.collect() if keeps(r))
 
 
-def test_replacements_first_match_wins_and_read_the_old_row(people):
+def test_replacements_first_match_wins_and_read_the_old_row(parts):
     clean = (
-        Clean("r").replace_negative("weight", Way.MEAN).replace_by_range("weight", None, False, 60, False, "fixed", 60).replace_by_values("gender", ["M"], "fixed", "m").replace_by_excluded_values("gender", ["W"], "fixed", "never")
-        .replace_by_data_type("name", "integral", "fixed", "num").replace_by_sub_pattern("name", "[0-9]", "#").fill_null("homepage", "mode").replace_non_email("email", "fixed", "x").replace_by_exp("age", "weight < 0", "max").extract_by_sub_pattern("homepage", "[a-z]+")
+        Clean("r").replace_negative("delta", Way.MAX).replace_by_range("delta", None, False, 45, False, "fixed", 45).replace_by_values("grade", ["A"], "fixed", "a").replace_by_excluded_values("grade", ["B", "C"], "fixed", "never")
+        .replace_by_data_type("label", "integral", "fixed", "num").replace_by_sub_pattern("label", "[0-9]", "#").fill_null("link", "mode").replace_non_email("mail", "fixed", "x").replace_by_exp("stock", "delta < 0", "max").extract_by_sub_pattern("link", "[a-z]+")
     )
-    out = {(r.id, r.age): r for r in run(people, clean).collect()}
-    assert out[(1, 19)].gender == "m" and out[(1, 19)].name == "num" and out[(8, 24)].name == "CD#"
-    assert out[(2, 26)].weight == 44 and out[(3, 23)].weight == 60 and out[(5, 18)].homepage == "ftp://192.168.2" and out[(1, 19)].homepage == "https"
-    assert out[(5, 18)].email is None and run(people, clean).schema == people.schema
+    out = {(r.id, r.width): r for r in run(parts, clean).collect()}
+    assert out[(1, 52)].grade == "a" and out[(1, 52)].label == "num" and out[(5, 55)].label == "VX##" and out[(2, 47)].grade == "B"
+    assert out[(3, 60)].delta == 71 and out[(3, 60)].stock == 40 and out[(1, 52)].delta == 45 and out[(6, 58)].link == "http://10.0.0.7/parts" and out[(5, 55)].link == "see"
+    assert out[(4, 49)].mail is None and out[(5, 55)].mail == "x" and run(parts, clean).schema == parts.schema
 
 
-def test_statistics_come_from_unfiltered_rows_and_kinds_run_in_order(people):
-    out = run(people, Clean("x").fill_null("age", "max").filter_by_exp("age < 20").replace_by_exp("age", "age = 12", "max"))
-    assert sorted(r.age for r in out.collect()) == [18, 19, 26]
+def test_statistics_come_from_unfiltered_rows_and_kinds_run_in_order(parts):
+    out = run(parts, Clean("x").fill_null("stock", "max").filter_by_exp("stock < 20").replace_by_exp("stock", "stock = 9", "max"))
+    assert sorted(r.stock for r in out.collect()) == [14, 14, 40]
 
 
 @pytest.mark.parametrize("way", ["forward", "backward"])
@@ -89,38 +90,46 @@ def test_moving_average_across_partitions(spark):
             assert (g is None) == (not near) and (g is None or g == pytest.approx(sum(near) / len(near)))
 
 
-def test_duplicates(people):
-    keep = lambda how: {r.id: r.age for r in run(people, Clean("d").drop_duplicates("id", how, "age")).collect()}
-    assert keep("first")[5] == 12 and keep("last")[5] == 18 and len(keep("first")) == 6
-    assert run(people, Clean("d").drop_duplicates(["gender"])).count() == 2
+def test_duplicates(parts):
+    keep = lambda how: {r.id: r.stock for r in run(parts, Clean("d").drop_duplicates("id", how, "stock")).collect()}
+    assert keep("first")[6] == 9 and keep("last")[6] == 22 and len(keep("first")) == 7
+    assert run(parts, Clean("d").drop_duplicates(["grade"])).count() == 3
 
 
-def test_repairs_fail_early(people):
-    for bad in (Clean("x").drop_null("nope"), Clean("x").fill_null("name", "mean"), Clean("x").filter_positive("name"), Clean("x").fill_null("age", "fixed"), Clean("x").fill_null("age", "nonsense", 1), Clean("x").replace_by_sub_pattern("age", "a", "b")):
+def test_repairs_fail_early(parts):
+    for bad in (Clean("x").drop_null("nope"), Clean("x").fill_null("label", "mean"), Clean("x").filter_positive("label"), Clean("x").fill_null("stock", "fixed"), Clean("x").fill_null("stock", "nonsense", 1), Clean("x").replace_by_sub_pattern("stock", "a", "b")):
         with pytest.raises(TransformError):
-            run(people, bad)
+            run(parts, bad)
 
 
 # --- dependencies -------------------------------------------------------------------------------------------------
 
-GOLDEN_FD = {
-    "CC,ZIP@STR#44,_&_": [[(0, 2)]],
-    "CC,AC,PN@STR,CT,ZIP#01,908,_&_,MH,_#01,212,_&_,NYC,_": [[(0, 2), (0, 0), (0, 2)], [(0, 2), (1, 0), (0, 2)]],
-    "CC,AC@CT#01,215&PHI#44,141&GLA": [[(1, 0)], [(1, 0)]],
-    "CT@ZIP#_&_": [[(0, 4)]],
-    "CC,AC@CT,ZIP#_,_&_,_": [[(0, 3), (0, 6)]],
-}
-
-
-@pytest.mark.parametrize("cfd", GOLDEN_FD)
-def test_violations(customers, cfd):
-    found = dependencies.violations(customers, cfd)
+DEPENDENCIES = ["depot,lane@gate#_,_&_", "gate@crew,size#_&_,_", "depot@crew#south&red#north&_", "lane,size@gate,crew#10,_&_,red#_,L&G1,_", "crew@size#_&_"]
+
+
+def plain_violations(cfd):
+    """(constant, variable) violations for each pattern and right-hand column, by comparing all pairs."""
+    head, *patterns = cfd.split("#")
+    lhs, rhs = (x.split(",") for x in head.split("@"))
+    at = {n.split()[0]: i for i, n in enumerate(DELIVERIES_SCHEMA.split(", "))}
+    show = lambda r, c: None if r[at[c]] is None else str(r[at[c]])
+    out = []
+    for p in patterns:
+        left, right = (x.split(",") for x in p.split("&"))
+        rows = [r for r in DELIVERIES if all(v in ("_", show(r, c)) for c, v in zip(lhs, left, strict=True))]
+        found = []
+        for c, v in zip(rhs, right, strict=True):
+            pairs = [(x, y) for i, x in enumerate(rows) for y in rows[:i] if all(show(x, k) == show(y, k) for k in lhs) and show(x, c) != show(y, c)]
+            found.append((0, len(pairs)) if v == "_" else (sum(show(r, c) != v for r in rows), 0))
+        out.append(found)
+    return out
+
+
+@pytest.mark.parametrize("cfd", DEPENDENCIES)
+def test_violations(deliveries, cfd):
+    found = dependencies.violations(deliveries, cfd)
     (patterns,) = found.values.values()
-    got = [[(v.const_vio, v.var_vio) for v in p.values()] for p in patterns.values()]
-    want = GOLDEN_FD[cfd]
-    if cfd.startswith("CC,AC,PN"):
-        want = [want[0], want[1]]
-    assert got == want
+    assert [[(v.const_vio, v.var_vio) for v in p.values()] for p in patterns.values()] == plain_violations(cfd)
 
 
 def test_nulls_are_values_of_the_right_hand_side(spark):
@@ -129,15 +138,16 @@ def test_nulls_are_values_of_the_right_hand_side(spark):
     assert v == Violation(0, 5 + 1)
 
 
-def test_dependency_repair_ends_without_violations(customers):
-    fixed = run(customers, Clean("fd").repair_by_fd(["CC,AC@CT#01,215&PHI#44,141&GLA#_,_&_"], priorities=[2.0]).repair_by_fd("CT@CC#_&_"))
-    assert not dependencies.violations(fixed, ["CC,AC@CT#01,215&PHI#44,141&GLA#_,_&_", "CT@CC#_&_"]).any()
-    assert fixed.schema == customers.schema and fixed.count() == 12
-    by = {r.id: r.CT for r in fixed.collect()}
-    assert by[308] == "PHI" and by[466] == "GLA" and by[190] == "NYC" and by[150] == "MH"
+def test_dependency_repair_ends_without_violations(deliveries):
+    rules = ["depot,lane@gate#north,20&G9#_,_&_"]
+    fixed = run(deliveries, Clean("fd").repair_by_fd(rules, priorities=[2.0]).repair_by_fd("gate@depot#_&_"))
+    assert not dependencies.violations(fixed, [*rules, "gate@depot#_&_"]).any()
+    assert fixed.schema == deliveries.schema and fixed.count() == len(DELIVERIES)
+    by = {r.id: r.gate for r in fixed.collect()}
+    assert by[4] == by[5] == "G9" and by[3] == "G1" and by[8] == "G5"
 
 
-def test_bad_dependencies(customers):
+def test_bad_dependencies():
     with pytest.raises(InconsistentDependenciesError):
         dependencies.parse_all(["A@B#1&2", "A@B#1&3"])
     with pytest.raises(IllegalParameterError):
@@ -147,35 +157,37 @@ def test_bad_dependencies(customers):
 # --- outliers -----------------------------------------------------------------------------------------------------
 
 
-def test_univariate_outliers_of_people(people):
-    s = lambda name, **p: outliers.solver(name, "weight", outliers.PARAMS[name](**p))
-    out = lambda x: sorted(r.weight for r in x.predict(people).where(outliers.FLAG).collect())
-    assert out(s("k_sigma")) == [-100] and out(s("mad")) == [-100, 88] and out(s("tukey")) == [-100]
-    assert s("k_sigma").bounds(people) == (pytest.approx(-45.5525, abs=1e-4), pytest.approx(133.5525, abs=1e-4))
-    assert s("mad").bounds(people) == (48.5, 87.5)
-    assert sorted(r.weight for r in s("mad").replace(people, (1,)).collect()) == [1, 1, 55, 55, 68, 70, 72]
-    assert s("k_sigma").remove(people).count() == 6 and s("k_sigma").detect(people) == 1
-    assert outliers.solver("sma", "weight", outliers.SMAParams(1.0, 2)).ratio(people) > 0
+def test_univariate_outliers(parts):
+    s = lambda name, **p: outliers.solver(name, "delta", outliers.PARAMS[name](**p))
+    out = lambda x: sorted(r.delta for r in x.predict(parts).where(outliers.FLAG).collect())
+    xs = sorted(r[5] for r in PARTS)
+    mean, sd, median = np.mean(xs), np.std(xs), xs[3]
+    mad = sorted(abs(x - median) for x in xs)[3]
+    assert out(s("k_sigma")) == [x for x in xs if abs(x - mean) > 1.5 * sd] == [-300] and out(s("mad")) == [x for x in xs if abs(x - median) > 1.5 * mad] and out(s("tukey")) == [-300]
+    assert s("k_sigma").bounds(parts) == pytest.approx((mean - 1.5 * sd, mean + 1.5 * sd)) and s("mad").bounds(parts) == (median - 1.5 * mad, median + 1.5 * mad)
+    assert sorted(r.delta for r in s("mad").replace(parts, (1,)).collect()) == sorted(1 if abs(x - median) > 1.5 * mad else x for x in xs)
+    assert s("k_sigma").remove(parts).count() == 7 and s("k_sigma").detect(parts) == 1
+    assert outliers.solver("sma", "delta", outliers.SMAParams(1.0, 2)).ratio(parts) > 0
 
 
 @pytest.fixture(scope="module")
-def bodies(spark):
-    return spark.createDataFrame([*BODIES, (99, None, 5)], "id long, height int, weight int").cache()
+def points(spark):
+    return spark.createDataFrame([*POINTS, (99, None, 5)], "id long, x int, y int").cache()
 
 
 @pytest.mark.parametrize(("model", "params"), [
     ("kmeans", outliers.KMeansParams(k=3, min_cluster=2)), ("gmm", outliers.GMMParams(k=2, deviation=1.5)), ("dbscan", outliers.DBSCANParams(3.0, 3)), ("lof", outliers.LOFParams(2, 0.08)),
     ("iforest", outliers.IForestParams(contamination=0.08)), ("pca", outliers.PCAParams(k=2, contamination=0.08)), ("autoencoder", outliers.AutoEncoderParams(contamination=0.08, hidden_size=2)),
 ])
-def test_multivariate_models_find_the_odd_body(bodies, model, params):
-    s = outliers.solver(model, ("height", "weight"), params)
-    flags = {r.id: r[outliers.FLAG] for r in s.predict(bodies).collect()}
+def test_multivariate_models_find_the_odd_point(points, model, params):
+    s = outliers.solver(model, ("x", "y"), params)
+    flags = {r.id: r[outliers.FLAG] for r in s.predict(points).collect()}
     assert len(flags) == 15 and flags[99] is None
     if model not in ("autoencoder", "gmm", "kmeans"):
-        assert flags[8] is True and sum(bool(x) for x in flags.values()) <= 2
-    kept = s.remove(bodies)
-    assert kept.columns == bodies.columns and kept.count() == 14 - sum(bool(x) for x in flags.values())
-    assert s.replace(bodies, (0, 0)).count() == 15
+        assert flags[7] is True and sum(bool(x) for x in flags.values()) <= 2
+    kept = s.remove(points)
+    assert kept.columns == points.columns and kept.count() == 14 - sum(bool(x) for x in flags.values())
+    assert s.replace(points, (0, 0)).count() == 15
 
 
 def test_dbscan_equals_brute_force(spark):
@@ -211,12 +223,36 @@ def test_lof_equals_brute_force(spark):
     assert [got[tuple(p)] for p in pts] == pytest.approx(want.tolist())
 
 
-def test_isolation_paths():
+def test_isolation_paths(spark):
     assert outliers.path_constant(2) == 1 and outliers.path_constant(1) == 0 and outliers.path_constant(256) == pytest.approx(10.2448, abs=1e-3)
     x = np.array([[0.0], [1.0], [100.0]])
-    nodes = np.array(outliers.grow_tree(x, 10, np.random.default_rng(0)), float)
-    lengths = outliers.path_lengths(nodes, x)
-    assert lengths.sum() == 5 or lengths.sum() == 6
+    rows = spark.createDataFrame([(float(v), 1 << k) for k, (v,) in enumerate(x)], "x0 double, h long")
+    nodes, n = outliers.grow_forest(rows, 1, outliers.IForestParams(num_trees=3))
+    assert len(nodes) == 3 and n == 3
+    for tree in nodes:
+        assert tree[0][4] == 3 and outliers.path_lengths(np.array(tree), x).sum() == pytest.approx(5, abs=0.01)  # one alone after one split, two after two
+
+
+def test_a_forest_grows_from_every_row(spark):
+    """Beyond any sample: each tree's root counts all rows, and its leaves too."""
+    df = spark.range(6000).selectExpr("CAST(id % 977 AS DOUBLE) AS x0", "CAST(id % 89 AS DOUBLE) AS x1", "id * 7919 AS h").repartition(4)
+    nodes, n = outliers.grow_forest(df, 2, outliers.IForestParams(num_trees=4, max_depth=6))
+    assert n == 6000
+    for tree in nodes:
+        assert tree[0][4] == 6000 and sum(node[4] for node in tree if node[0] < 0) == 6000
+
+
+@pytest.mark.parametrize(("model", "columns"), [("k_sigma", ("x",)), ("tukey", ("x",)), ("mad", ("x",)), ("kmeans", ("x", "y")), ("gmm", ("x", "y")), ("iforest", ("x", "y")), ("pca", ("x", "y")), ("autoencoder", ("x", "y"))])
+def test_fitted_models_judge_other_rows(points, model, columns):
+    params = outliers.PARAMS[model](**({"k": 2} if model == "pca" else {}), **({"num_epochs": 3} if model == "autoencoder" else {}))
+    s = outliers.solver(model, columns, params)
+    fitted = s.fit(points)
+    few = points.where("id IN (1, 7, 99)")
+    whole = {r.id: r[outliers.FLAG] for r in s.predict(points).collect()}
+    assert {r.id: r[outliers.FLAG] for r in fitted.predict(few).collect()} == {k: whole[k] for k in (1, 7, 99)}
+    assert fitted.detect(few) == sum(bool(whole[k]) for k in (1, 7, 99)) and fitted.remove(few).columns == points.columns
+    with pytest.raises(IllegalParameterError):
+        outliers.solver("lof", ("x", "y")).fit(points)
 
 
 # --- entities, imputation, graph, io ------------------------------------------------------------------------------
@@ -268,18 +304,18 @@ def test_components(spark):
     assert {r.node: r.root for r in components(links).collect()} == {2: 1, 3: 1, 11: 10, 20: 16, 19: 16, 18: 16, 17: 16}
 
 
-def test_readers_and_writers(spark, people, tmp_path):
+def test_readers_and_writers(spark, parts, tmp_path):
     p = lambda x: str(tmp_path / x)
-    io.to_parquet(people, p("a"))
-    io.to_orc(people, p("b"))
-    io.to_json(people, p("c"))
-    io.to_csv(people, p("d"))
-    io.to_text(people.select("name"), p("e"))
-    assert io.from_parquet(p("a")).count() == io.from_orc(p("b")).count() == io.from_json(p("c"), PEOPLE_SCHEMA).where("weight is not null").count() == io.from_csv(p("d")).count() == io.from_text(p("e")).count() == 7
-    assert io.from_csv(p("d"), PEOPLE_SCHEMA).schema["age"].dataType.simpleString() == "bigint"
-    assert io.to_pandas(io.from_pandas(people.toPandas().head(3))).shape == (3, 8)
+    io.to_parquet(parts, p("a"))
+    io.to_orc(parts, p("b"))
+    io.to_json(parts, p("c"))
+    io.to_csv(parts, p("d"))
+    io.to_text(parts.select("label"), p("e"))
+    assert io.from_parquet(p("a")).count() == io.from_orc(p("b")).count() == io.from_json(p("c"), PARTS_SCHEMA).where("delta is not null").count() == io.from_csv(p("d")).count() == io.from_text(p("e")).count() == 8
+    assert io.from_csv(p("d"), PARTS_SCHEMA).schema["stock"].dataType.simpleString() == "bigint"
+    assert io.to_pandas(io.from_pandas(parts.toPandas().head(3))).shape == (3, 8)
     spark.sql("CREATE DATABASE IF NOT EXISTS tessera_test")
-    io.to_hive(people, "tessera_test", "people")
-    assert io.from_hive("tessera_test", "people").count() == 7
+    io.to_hive(parts, "tessera_test", "parts")
+    assert io.from_hive("tessera_test", "parts").count() == 8
     spark.sql("DROP DATABASE tessera_test CASCADE")
     assert session.session() is not None
