@@ -197,6 +197,65 @@ def check_lineitem(spark, d):  # noqa: ANN001, ANN201
     return flagship(spark, d)
 
 
+def _groups(columns: str, pick: str) -> str:
+    return f"(SELECT {pick} FROM (SELECT count(*) AS n FROM h WHERE {' AND '.join(c + ' IS NOT NULL' for c in columns.split(', '))} GROUP BY {columns}), (SELECT count(*)::DOUBLE AS rows FROM h))"
+
+
+def _entropy(columns: str) -> str:
+    return _groups(columns, "-sum(n / rows * ln(n / rows))")
+
+
+_BOTH = ["c_nationkey", "c_mktsegment"]
+#: A constraint by the check's method, and the same by SQL over the table h.
+_METHODS = [
+    (lambda k: k.has_completeness("bal", c.greater_than(0.85)), "(SELECT count(bal)::DOUBLE / count(*) > 0.85 FROM h)"),
+    (lambda k: k.are_complete(["c_custkey", "c_nationkey"]), "(SELECT bool_and(c_custkey IS NOT NULL AND c_nationkey IS NOT NULL) FROM h)"),
+    (lambda k: k.have_completeness(["bal", "name"], c.in_range(0.6, 0.65)), "(SELECT count_if(bal IS NOT NULL AND name IS NOT NULL)::DOUBLE / count(*) BETWEEN 0.6 AND 0.65 FROM h)"),
+    (lambda k: k.is_unique("c_custkey"), f"{_groups('c_custkey', 'max(n)')} = 1"),
+    (lambda k: k.has_uniqueness("name", c.greater_than(0.9)), f"{_groups('name', 'count_if(n = 1) / max(rows)')} > 0.9"),
+    (lambda k: k.have_uniqueness(_BOTH, c.is_zero()), f"{_groups('c_nationkey, c_mktsegment', 'count_if(n = 1)')} = 0"),
+    (lambda k: k.has_distinctness("c_nationkey", c.less_than(0.05)), f"{_groups('c_nationkey', 'count(*) / max(rows)')} < 0.05"),
+    (lambda k: k.have_distinctness(_BOTH, c.less_than(0.05)), f"{_groups('c_nationkey, c_mktsegment', 'count(*) / max(rows)')} < 0.05"),
+    (lambda k: k.has_unique_ratio("name", c.is_one()), f"{_groups('name', 'count_if(n = 1)::DOUBLE / count(*)')} = 1"),
+    (lambda k: k.have_unique_ratio(_BOTH, c.greater_than(0.5)), f"{_groups('c_nationkey, c_mktsegment', 'count_if(n = 1)::DOUBLE / count(*)')} > 0.5"),
+    (lambda k: k.has_histogram_values("c_mktsegment", lambda d: d["BUILDING"].absolute > 290), "(SELECT count_if(c_mktsegment = 'BUILDING') > 290 FROM h)"),
+    (lambda k: k.has_approx_count_distinct("c_nationkey", c.in_range(20, 30)), "(SELECT count(DISTINCT c_nationkey) BETWEEN 20 AND 30 FROM h)"),
+    (lambda k: k.is_greater_than("c_custkey", 0), "(SELECT bool_and(c_custkey > 0) FROM h)"),
+    (lambda k: k.is_greater_than_or_equal_to("c_custkey", 0), "(SELECT bool_and(c_custkey >= 0) FROM h)"),
+    (lambda k: k.is_less_than("c_nationkey", 25), "(SELECT bool_and(c_nationkey < 25) FROM h)"),
+    (lambda k: k.is_less_than_or_equal_to("c_nationkey", 23), "(SELECT bool_and(c_nationkey <= 23) FROM h)"),
+    (lambda k: k.is_positive("c_nationkey"), "(SELECT bool_and(coalesce(c_nationkey, 0) > 0) FROM h)"),
+    (lambda k: k.is_non_negative("c_nationkey"), "(SELECT bool_and(coalesce(c_nationkey, 0) >= 0) FROM h)"),
+    (lambda k: k.has_data_type("name", "string"), "(SELECT bool_and(name IS NULL OR NOT regexp_full_match(name, '(-|\\+)? ?[0-9]*\\.?[0-9]*|true|false')) FROM h)"),
+    (lambda k: k.begins_with("name", "Customer", c.greater_than(0.75)), "(SELECT count_if(name LIKE 'Customer%')::DOUBLE / count(*) > 0.75 FROM h)"),
+    (lambda k: k.ends_with("name", "7", c.greater_than(0.11)), "(SELECT count_if(name LIKE '%7')::DOUBLE / count(*) > 0.11 FROM h)"),
+    (lambda k: k.contains_str("name", "#00", c.less_than(0.75)), "(SELECT count_if(name LIKE '%#00%')::DOUBLE / count(*) < 0.75 FROM h)"),
+    (lambda k: k.contains_url("name", c.is_zero()), "(SELECT count_if(name LIKE '%://%') = 0 FROM h)"),
+    (lambda k: k.contains_email("name", c.is_positive()), "(SELECT count_if(name LIKE '%@%') > 0 FROM h)"),
+    (lambda k: k.has_min("bal", c.is_negative()), "(SELECT min(bal) < 0 FROM h)"),
+    (lambda k: k.has_sum("c_nationkey", c.greater_than(17000)), "(SELECT sum(c_nationkey) > 17000 FROM h)"),
+    (lambda k: k.has_mode("c_nationkey", c.in_range(5, 25)), "(SELECT c_nationkey BETWEEN 5 AND 25 FROM h GROUP BY c_nationkey ORDER BY count(*) DESC, CAST(c_nationkey AS VARCHAR) LIMIT 1)"),
+    (lambda k: k.has_standard_deviation("bal", c.in_range(3000, 3300)), "(SELECT stddev_pop(bal) BETWEEN 3000 AND 3300 FROM h)"),
+    (lambda k: k.has_entropy("c_mktsegment", c.greater_than(1.6)), f"{_entropy('c_mktsegment')} > 1.6"),
+    (lambda k: k.has_mutual_information("c_mktsegment", "c_nationkey", c.greater_than(0.02)), f"{_entropy('c_mktsegment')} + {_entropy('c_nationkey')} - {_entropy('c_nationkey, c_mktsegment')} > 0.02"),
+    (lambda k: k.has_correlation("c_custkey", "c_nationkey", c.greater_than(0)), "(SELECT corr(c_custkey, c_nationkey) > 0 FROM h)"),
+    (lambda k: k.has_max_length("name", c.equal_to(18)), "(SELECT max(length(name)) = 18 FROM h)"),
+    (lambda k: k.has_min_length("c_mktsegment", c.equal_to(8)), "(SELECT min(length(c_mktsegment)) = 8 FROM h)"),
+    (lambda k: k.has_outliers("bal", "k_sigma", assertion=c.greater_than(0.1)), "(SELECT count_if(abs(bal - m) > 1.5 * s)::DOUBLE / count(bal) > 0.1 FROM h, (SELECT avg(bal) m, stddev_pop(bal) s FROM h))"),
+]
+
+
+def customer_check() -> c.Check:
+    check = c.Check("customer")
+    for add, _ in _METHODS:
+        add(check)
+    return check
+
+
+def _told(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 # --- repairs ------------------------------------------------------------------------------------------------------
 
 _HOLES = "(SELECT c_custkey, c_nationkey, c_mktsegment, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_acctbal END AS bal, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_name END AS name FROM customer)"
@@ -207,6 +266,12 @@ def holes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", F.when(key % 7 != 0, F.col("c_acctbal")).alias("bal"), F.when(key % 5 != 0, F.col("c_name")).alias("name"))
 
 
+@register(f"WITH h AS {_HOLES} " + " UNION ALL ".join(f"SELECT {_told(str(x))} AS \"constraint\", CASE WHEN {sql} THEN 'Success' ELSE 'Failure' END AS status" for x, (_, sql) in zip(customer_check().constraints, _METHODS, strict=True)))
+def check_customer(spark, d):  # noqa: ANN001, ANN201
+    """Every method that ``check_lineitem`` leaves out, but entities."""
+    return c.DetectionSuite.on_data(holes(spark, d)).add_check(customer_check()).run().assertion_results_as_df().select("constraint", "status")
+
+
 def cleaned(df: DataFrame, clean: Clean) -> DataFrame:
     return RepairSuite.on_data(df).add_clean(clean).run()
 
@@ -257,10 +322,9 @@ def replacers_data_types(spark, d):  # noqa: ANN001, ANN201
     return cleaned(mixed(spark, d), Clean("t").replace_by_data_type("m", "boolean", "fixed", "bool").replace_by_excluded_data_type("m", "numeric", "fixed", "text")).select("o_orderkey", "m")
 
 
-@register(f"SELECT page_id, CASE WHEN regexp_matches(c, '([A-Za-z0-9_.-])+@([A-Za-z0-9_.-])+\\.([A-Za-z]{{2,4}})') THEN regexp_extract(c, '[a-z]+@[a-z0-9]+', 0) WHEN c IS NULL THEN '' END AS c FROM (SELECT page_id, {_CONTACT} AS c FROM pages) WHERE c IS NULL OR regexp_matches(c, '@')".replace("WHEN c IS NULL THEN ''", "WHEN c IS NULL THEN NULL"))
+@register(f"SELECT page_id, CASE WHEN c IS NULL THEN NULL WHEN NOT regexp_matches(c, '([A-Za-z0-9_.-])+@([A-Za-z0-9_.-])+\\.([A-Za-z]{{2,4}})') THEN 'none' ELSE regexp_extract(c, '[a-z]+@[a-z0-9]+', 0) END AS c FROM (SELECT page_id, {_CONTACT} AS c FROM pages)")
 def replacers_email(spark, d):  # noqa: ANN001, ANN201
-    df = contacts(spark, d).where("contact IS NULL OR contact LIKE '%@%'")
-    return cleaned(df, Clean("e").replace_non_email("contact", "fixed", "none").extract_by_sub_pattern("contact", "[a-z]+@[a-z0-9]+")).select("page_id", F.col("contact").alias("c"))
+    return cleaned(contacts(spark, d), Clean("e").replace_non_email("contact", "fixed", "none").extract_by_sub_pattern("contact", "[a-z]+@[a-z0-9]+")).select("page_id", F.col("contact").alias("c"))
 
 
 @register("SELECT c_custkey, round(CASE WHEN c_acctbal < 0 THEN (SELECT avg(c_acctbal) FROM customer) WHEN c_nationkey = 5 THEN (SELECT max(c_acctbal) FROM customer) ELSE c_acctbal END, 6) AS c_acctbal, CASE WHEN c_mktsegment NOT IN ('BUILDING', 'MACHINERY') THEN 'OTHER' WHEN regexp_matches(c_mktsegment, 'ING$') THEN 'B' ELSE c_mktsegment END AS c_mktsegment FROM customer")
@@ -477,6 +541,18 @@ def er_pruned_edges(spark, d):  # noqa: ANN001, ANN201
     return entities.prune(entities.weighted_edges(entities.token_blocks(df, ("text",), "item_id")), comparison="and")
 
 
+@register(_PRUNED.replace("w >= a.t AND w >= b.t", "w >= a.t OR w >= b.t"))
+def er_pruned_edges_or(spark, d):  # noqa: ANN001, ANN201
+    df = table(spark, d, "benchmark").withColumn("text", F.regexp_replace("text", "[^a-zA-Z0-9 ]", " "))
+    return entities.prune(entities.weighted_edges(entities.token_blocks(df, ("text",), "item_id")), comparison="or")
+
+
+@register(_PRUNED.replace("sum(w) / (count(*) + 1) AS t", "max(w) / 2 AS t"))
+def er_pruned_edges_half_of_most(spark, d):  # noqa: ANN001, ANN201
+    df = table(spark, d, "benchmark").withColumn("text", F.regexp_replace("text", "[^a-zA-Z0-9 ]", " "))
+    return entities.prune(entities.weighted_edges(entities.token_blocks(df, ("text",), "item_id")), comparison="and", threshold="max_div_2")
+
+
 @register()
 def er_entities(spark, d):  # noqa: ANN001, ANN201
     return entities.resolve(table(spark, d, "benchmark"), ("text",), index_col="item_id").select("item_id", "cluster")
