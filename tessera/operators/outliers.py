@@ -297,8 +297,6 @@ class _Vector(Solver):
 class _Scored(_Vector):
     """Models that score rows and flag those above a threshold over the rows they were trained on."""
 
-    method = "quantile"
-
     def model(self, df: DataFrame) -> Any:
         raise NotImplementedError
 
@@ -316,6 +314,13 @@ class _Scored(_Vector):
             return df.withColumn(FLAG, F.lit(None).cast("boolean"))
         return self.scored(df, model).withColumn(FLAG, F.col("__score") > F.lit(limit)).select(*df.columns, FLAG)
 
+    def predict(self, df):
+        if self.learned is not None or (model := self.model(df)) is None:
+            return super().predict(df) if self.learned is not None else self.judge(df, (None, None))
+        rows = checkpoint(self.scored(df, model))  # scored once, for the threshold and the flags
+        limit = self.threshold(rows, "__score", method=getattr(self.p, "method", "quantile"))
+        return rows.withColumn(FLAG, F.col("__score") > F.lit(limit)).select(*df.columns, FLAG)
+
 
 class _Clusters(_Vector):
     def model(self, rows: DataFrame) -> tuple[Any, np.ndarray, np.ndarray | None]:
@@ -513,15 +518,20 @@ def grow_forest(rows: DataFrame, dim: int, p: IForestParams) -> tuple[list[list[
                     mine = (times > 0) if p.bootstrap else draw < rate
                     if not mine.any():
                         continue
-                    part = x[mine]
+                    part, counted = x[mine], times[mine]
                     at = leaves(nodes, part)
-                    for node in np.intersect1d(at, wanted[t]).tolist():
-                        here = part[at == node]
-                        got = [float(times[mine][at == node].sum()), *np.stack([here.min(0), here.max(0)], axis=1).ravel().tolist()]
+                    ask = np.zeros(len(nodes), bool)
+                    ask[wanted[t]] = True
+                    order = np.flatnonzero(ask[at])
+                    order = order[np.argsort(at[order], kind="stable")]
+                    if not len(order):
+                        continue
+                    new = np.flatnonzero(np.concatenate([[True], np.diff(at[order]) != 0]))
+                    part, total = part[order], np.add.reduceat(counted[order], new)
+                    ends = np.stack([np.minimum.reduceat(part, new, axis=0), np.maximum.reduceat(part, new, axis=0)], axis=2).reshape(len(new), -1)
+                    for node, rows_, got in zip(at[order][new].tolist(), total.tolist(), ends.tolist(), strict=True):
                         old = best.get((t, node))
-                        if old is not None:
-                            got = [old[0] + got[0], *(f(a, b) for f, a, b in zip([min, max] * dim, old[1:], got[1:], strict=True))]
-                        best[(t, node)] = got
+                        best[(t, node)] = [rows_, *got] if old is None else [old[0] + rows_, *(f(a, b) for f, a, b in zip([min, max] * dim, old[1:], got, strict=True))]
             if best:
                 yield pd.DataFrame([[*k, int(v[0]), *v[1:]] for k, v in best.items()], columns=["tree", "node", "n", *[f"{e}{i}" for i in range(dim) for e in ("lo", "hi")]])
 
@@ -572,7 +582,8 @@ class IForestSolver(_Scored):
     def model(self, df):
         xs = [f"x{i}" for i in range(len(self.columns))]
         some = df.select(*[F.col(c).cast("double").alias(x) for c, x in zip(self.columns, xs, strict=True)]).dropna()
-        rows = checkpoint(some.withColumn("h", F.xxhash64(*xs, F.monotonically_increasing_id(), F.lit(self.p.seed))))
+        rows, cores = some.withColumn("h", F.xxhash64(*xs, F.monotonically_increasing_id(), F.lit(self.p.seed))), df.sparkSession.sparkContext.defaultParallelism
+        rows = checkpoint(rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows)
         trees, n = grow_forest(rows, len(xs), self.p)
         return [np.array(t) for t in trees], path_constant(max(n, 2))
 
