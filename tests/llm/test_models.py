@@ -174,6 +174,19 @@ def test_scores_equal_plain_loops():
     assert np.allclose(first, want[:, 0], atol=1e-4) and np.allclose(rest, want[:, 1], atol=1e-4)
 
 
+def test_vectors_are_means_for_words_of_any_length():
+    rng = np.random.default_rng(3)
+    p, slot = {"E": rng.normal(size=(50, 4)).astype(np.float32)}, rng.integers(0, 50, 90)
+    for sizes in ([1], [1, 2, 1], [8, 9, 1, 40], [7, 8], [300], []):
+        ids = rng.integers(0, 90, sum(sizes))
+        want, at = [], 0
+        for n in sizes:
+            want.append(p["E"][slot[ids[at : at + n]]].mean(0))
+            at += n
+        got = lm.vectors(p, slot, ids, np.array(sizes, np.int64))
+        assert np.allclose(got, np.array(want).reshape(-1, 4), atol=1e-5)
+
+
 def test_probabilities_sum_to_one():
     net, w, _, _ = _tiny()
     z, _ = lm.forward(net.params, lm.vectors(net.params, net.slot, w.ids, w.sizes)[None, :8])
