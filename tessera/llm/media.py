@@ -5,17 +5,21 @@ scales: Harris corners, an orientation from the intensity centroid, and 256 bina
 positions turned by that orientation.  A descriptor's 256 bits are three words of ten or eleven bytes, one for each
 Hamming table: descriptors that differ in at most two bits agree on a whole word, and copies have many descriptors.
 
+A link is a pair that meets in ``votes`` buckets and is verified: descriptors are matched by nearest Hamming distance both
+ways, and a similarity transform (scale, turn, shift) proposed by two matches must carry at least ``inliers`` of them.
+Connected images are one class.
+
 Tables are joined by leaders: in a bucket (table, word) every image is paired with the bucket's smallest, not with every
-other, so n images give n - 1 pairs.  Pairs that meet in ``votes`` buckets are verified: descriptors are matched by
-nearest Hamming distance both ways, and a similarity transform (scale, turn, shift) proposed by two matches must carry at
-least ``inliers`` of them.  Images that their leader does not account for stay in the bucket, which gets a new
-leader, until no bucket has two images left; as soon as the buckets hold few pairs (eight for each image in one), or after
-``rounds`` rounds in a row that verify nothing, all pairs left are verified at once.  Verified pairs are links, and
-connected images are one class.
+other, so n images give n - 1 pairs.  Images that their leader does not account for stay in the bucket, which gets a new
+leader, until the buckets hold few pairs (eight for each image in one), or ``rounds`` rounds in a row verify nothing.  An
+image may be linked with its leader and with others, which are not: so all pairs that have met in ``votes`` buckets of
+the whole tables, are in different classes yet and were not verified before, are verified then.  No link is lost.  With
+``votes`` = 0 pairs without a common word are verified, too, which takes time with the square of the images.
 
 Defined results: one row per input row.  Null and undecodable media have no keypoints and no links (the row's class
-is its own key).  An image is held whole, with some ten copies as floats while it is described.  Equal images share a class even without keypoints.  Repeated rows come back as often; a null key is never
-the smallest.  Other columns are ignored; empty tables give empty results.
+is its own key).  An image is held whole, with some ten copies as floats while it is described.  Equal images share a class
+even without keypoints; a key's different images are told apart.  Repeated rows come back as often; a null key is never
+the smallest, but its image links as others do.  Other columns are ignored; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -246,37 +250,54 @@ def verified(pairs: DataFrame, described: DataFrame, **how: object) -> DataFrame
     return both.mapInPandas(run, f"a {kind}, b {kind}")
 
 
+def met(paired: DataFrame, votes: int) -> DataFrame:
+    """(a, b) of the pairs that meet in ``votes`` buckets."""
+    return paired.groupBy("a", "b").agg(F.count(F.lit(1)).alias("v")).where(F.col("v") >= votes).select("a", "b")
+
+
+def across(buckets: DataFrame, classes: DataFrame) -> DataFrame:
+    """(w, a, b): the pairs of images of different classes in every bucket (id, w); classes: (node, root), a root being its own."""
+    of = buckets.join(classes, F.col("id") == F.col("node"), "left").select("w", "id", F.coalesce("root", "id").alias("root"))
+    groups = of.groupBy("w", "root").agg(F.collect_list("id").alias("ids"))
+    side = lambda s: groups.select("w", F.col("root").alias(f"r{s}"), F.col("ids").alias(f"i{s}"))
+    both = side("x").join(side("y"), "w").where("rx < ry").select("w", F.explode("ix").alias("x"), "iy").select("w", "x", F.explode("iy").alias("y"))
+    return both.select("w", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def copies(media: DataFrame, *, key: str = "media_id", image: str = "image", per_scale: int = 20, votes: int = 1, rounds: int = 4, **how: object) -> DataFrame:
     """Per row of media: key, n_keypoints, component_id."""
     every = checkpoint(keypoints(media, key=key, image=image, per_scale=per_scale))
-    heads = every.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("head"))
-    same = (F.col("id") == F.col("head")) & (F.col("digest") == F.col("hd"))
-    described = checkpoint(every.join(heads.withColumnRenamed("digest", "hd"), same).select("id", "points", "descs", "words").dropDuplicates(["id"]))
-    paired = led(described.select("id", F.explode("words").alias("w")))
-    links, dry, last = None, 0, False
+    one = [F.first(c).alias(c) for c in ("points", "descs", "words")]  # the same for equal images
+    images = every.where("digest is not null").groupBy("digest").agg(F.min("id").alias("head"), *one)
+    images = checkpoint(images.withColumn("id", F.monotonically_increasing_id()))
+    none = images.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    links, tested, dry, buckets = none, none, 0, None
+    rest = images.select("id", F.explode("words").alias("w"))
     while True:
-        paired = checkpoint(paired)
-        pairs = paired.groupBy("a", "b").agg(F.count(F.lit(1)).alias("v")).where(F.col("v") >= votes)
-        good = checkpoint(verified(pairs, described, **how))
+        paired = checkpoint(led(rest))
+        if buckets is None:
+            buckets = paired.select(F.col("b").alias("id"), "w").unionByName(paired.select(F.col("a").alias("id"), "w").distinct())
+        pairs = checkpoint(met(paired, votes))
+        good = checkpoint(verified(pairs, images, **how))
         dry = dry + 1 if good.isEmpty() else 0
-        if not dry:
-            links = good if links is None else links.unionByName(good)
-        if last:
-            break
+        links, tested = links.unionByName(good), tested.unionByName(pairs)
         rest = paired.join(good, ["a", "b"], "left_anti").select(F.col("b").alias("id"), "w")
         n = F.col("n")
         left = rest.groupBy("w").agg(F.count(F.lit(1)).alias("n")).agg(F.sum(n * (n - 1) / 2).alias("pairs"), F.sum("n").alias("rows")).first()
-        if not left.pairs:
+        if (left.pairs or 0) <= 8 * (left.rows or 0) or dry >= rounds:
             break
-        last = left.pairs <= 8 * left.rows or dry >= rounds
-        paired = rest.withColumnRenamed("id", "a").join(rest.withColumnRenamed("id", "b"), "w").where("a < b").select("w", "a", "b") if last else led(rest)
-    of = described.select("id", (F.octet_length("descs") / 32).cast("bigint").alias("n_keypoints"))
-    if links is None:
-        of = of.withColumn("root", F.col("id"))
+    classes = checkpoint(components(links))
+    if votes:
+        open_ = met(across(buckets, classes), votes)
     else:
-        of = of.join(components(links), F.col("id") == F.col("node"), "left").select("id", "n_keypoints", F.coalesce("root", "id").alias("root"))
-    by_digest = heads.join(of, F.col("head") == F.col("id")).select("digest", "n_keypoints", "root")
-    return every.select(F.col("id").alias("k"), "digest").join(by_digest, "digest", "left").select(F.col("k").alias(key), F.coalesce("n_keypoints", F.lit(0)).alias("n_keypoints"), F.coalesce("root", "k").alias("component_id"))
+        of = images.where(F.octet_length("descs") > 0).join(classes, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root"))
+        side = lambda s: of.select(F.col("id").alias(s), F.col("root").alias(f"r{s}"))
+        open_ = side("a").join(side("b"), F.expr("a < b and ra <> rb")).select("a", "b")
+    links = links.unionByName(checkpoint(verified(open_.join(tested, ["a", "b"], "left_anti"), images, **how)))
+    of = images.join(components(links), F.col("id") == F.col("node"), "left").select("digest", "head", (F.octet_length("descs") / 32).cast("bigint").alias("n_keypoints"), F.coalesce("root", "id").alias("root"))
+    by_digest = of.join(of.groupBy("root").agg(F.min("head").alias("least")), "root").select("digest", "n_keypoints", "least")
+    rows = every.select(F.col("id").alias("k"), "digest").join(by_digest, "digest", "left")
+    return rows.select(F.col("k").alias(key), F.coalesce("n_keypoints", F.lit(0)).alias("n_keypoints"), F.coalesce("least", "k").alias("component_id"))
 
 
 def rendered(vector: Column, *, size: int = 64) -> Column:

@@ -320,6 +320,52 @@ def test_copies_behind_unrelated_leaders_of_a_bucket(spark, monkeypatch, alone):
     assert {r.media_id: r.component_id for r in media.copies(df).collect()} == want
 
 
+def _classes(pics, votes=0):
+    """Smallest index reachable by pairs with consensus and ``votes`` common words, over all pairs."""
+    kp = [media.describe(np.ascontiguousarray(p)[None])[1:] for p in pics]
+    words = [set(media.table_words(d).tolist()) if len(d) else set() for _, d in kp]
+    label = list(range(len(pics)))
+    for _ in pics:
+        for i in range(len(pics)):
+            for j in range(i):
+                if len(words[i] & words[j]) >= votes and media.consensus(*kp[j], *kp[i]):
+                    label[i] = label[j] = min(label[i], label[j])
+    return label
+
+
+def _found(spark, pics, **how):
+    df = spark.createDataFrame([(i, media.encode(p)) for i, p in enumerate(pics)], "media_id long, image binary")
+    got = {r.media_id: r.component_id for r in media.copies(df, **how).collect()}
+    return [got[i] for i in range(len(pics))]
+
+
+def test_a_copy_of_the_leaders_copy_is_linked(spark, monkeypatch):
+    """In one bucket: two parts that have nothing in common, and the whole, which both are cropped from."""
+    true = media.keypoints
+    monkeypatch.setattr(media, "keypoints", lambda *a, **k: true(*a, **k).withColumn("words", F.array(F.lit(1).cast("long"))))
+    for x in map(_picture, (3, 4)):
+        pics = [x[:, :42], x, x[:, 22:]]
+        assert _classes(pics) == [0, 0, 0] and _classes([pics[0], pics[2]]) == [0, 1]
+        assert _found(spark, pics) == _found(spark, [pics[2], pics[1], pics[0]]) == [0, 0, 0]
+
+
+def test_votes_in_all_buckets(spark):
+    """``votes`` common words are counted over all rounds; none asked for, every pair is verified."""
+    rng = np.random.default_rng(8)
+    pics = [np.clip(_picture(s) + rng.normal(0, k, (64, 64)), 0, 255).astype(np.uint8) for s in range(5) for k in (0, 6, 12, 20, 30)]
+    assert _classes(pics, 0) != _classes(pics, 1) != _classes(pics, 6)
+    for votes in (0, 1, 6):
+        assert _found(spark, pics, votes=votes) == _classes(pics, votes)
+
+
+def test_images_of_repeated_and_null_keys_are_linked(spark):
+    near = lambda s: media.encode((_picture(s) * 0.9 + 8).astype(np.uint8))
+    far = lambda s: media.encode(_picture(s))
+    rows = [(1, far(70)), (1, far(71)), (1, far(72)), (2, near(70)), (3, near(71)), (4, near(72)), (5, far(73)), (None, near(73)), (None, far(74)), (None, b"x")]
+    got = media.copies(spark.createDataFrame(rows, "media_id long, image binary")).collect()
+    assert sorted((r.media_id or 0, r.component_id or 0) for r in got) == [(0, 0), (0, 0), (0, 5), (1, 1), (1, 1), (1, 1), (2, 1), (3, 1), (4, 1), (5, 5)]
+
+
 def test_decoding():
     x = np.arange(12, dtype=np.uint8).reshape(3, 4)
     assert (media.decode(media.encode(x)) == x).all()
