@@ -243,6 +243,19 @@ def test_every_training_document_moves_the_weights(spark):
     assert any(not np.allclose(fits[0][k], fits[1][k]) for k in ("qkv", "u", "w1"))
 
 
+def test_training_sees_every_window(spark, monkeypatch):
+    """The tasks learn from each word of every text, and its end, once: counted here in the function that they run."""
+    texts = ["", " ".join(f"w{i}" for i in range(700)), " ".join(f"v{i}" for i in range(32)), None, "x " * 9999]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    runs, seen, learn, spark_map = [], [], lm.gradients, type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda d, run, schema, *a, **k: (runs.append((schema, run)), spark_map(d, run, schema, *a, **k))[1])
+    lm.fit(df, RANKS, where=F.lit(True), steps=1)
+    monkeypatch.setattr(lm, "gradients", lambda net, w, idx, there: (seen.append(int(there.sum())), learn(net, w, idx, there))[1])
+    (run,) = [run for schema, run in runs if schema.startswith("j long")]
+    list(run(iter(df.select("text").toArrow().to_batches())))
+    assert sum(seen) == sum(len((t or "").split()) + 1 for t in texts)
+
+
 def test_repeated_rows_and_long_texts(spark):
     long = "some words that repeat " * 60_000
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, "b a c"), (None, "a b"), (None, "zz"), (2, long)], "doc_id long, text string")
