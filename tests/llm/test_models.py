@@ -174,6 +174,18 @@ def test_scores_equal_plain_loops():
     assert np.allclose(first, want[:, 0], atol=1e-4) and np.allclose(rest, want[:, 1], atol=1e-4)
 
 
+def test_words_encoded_together_equal_words_encoded_alone():
+    of, rng = lm.subwords(RANKS), np.random.default_rng(4)
+    pool = ["the", "it's", "'s", "x\u00a0", "\u00a0y", "\u2003", "a\x1cb", "\x85", "\x00", "Éa", "日本語", "12,5", "!!", "_", "z" * 300]
+    words = [pool[i].encode() for i in rng.integers(0, len(pool), 200)] + [bytes(rng.integers(33, 256, k, dtype=np.uint8)) for k in rng.integers(1, 9, 200)]
+    plain = [w for w in words if w.isascii() and w.isalnum()]
+    for some in (words, plain, words[:1], []):
+        alone = [of(w) for w in some]
+        for at_once in (1, 7, 1000):
+            ids, n = of.many(some, at_once)
+            assert n.tolist() == [len(x) for x in alone] and ids.tolist() == [i for x in alone for i in x]
+
+
 def test_vectors_are_means_for_words_of_any_length():
     rng = np.random.default_rng(3)
     p, slot = {"E": rng.normal(size=(50, 4)).astype(np.float32)}, rng.integers(0, 50, 90)
